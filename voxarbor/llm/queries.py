@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, sharding, topk
+from . import langid, media, mixing, sharding, simhash, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,11 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+@_query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), k=3, bits=2)
+
+
 @_query
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(table(spark, sf_dir, "documents"))
