@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, sharding, simhash, topk
+from . import langid, media, mixing, sharding, simhash, substring, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(table(spark, sf_dir, "documents"), 40)
