@@ -171,6 +171,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Train on at most SAMPLE_ROWS labelled rows that are not held out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     h = F.xxhash64(doc_id)
+    # Thin out by hash first, so that what each task sends stays small on any input.
+    total = max(1, rows.count())
+    share = min(1 << 30, int((2.0 * SAMPLE_ROWS + 1000) / total * (1 << 30)))
+    rows = rows.where(F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(1 << 30)) < share)
     start = F.pmod(h, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     picked = (
         rows.select(h.alias("h"), F.col(text).substr(start, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang).alias("l"))

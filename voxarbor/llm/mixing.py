@@ -27,7 +27,8 @@ SHARE, CAP = 1.5, 2.0
 #: Budget (in words) that the dynamic programme resolves, at least.
 DP_WORDS = 1 << 16
 #: A (source, length) group beyond this is ranked in hash buckets.
-GROUP_ROWS, BUCKETS = 10_000, 1024
+GROUP_ROWS = 500
+BUCKET_BITS = 10
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share=SHARE, cap=CAP)
         choose, "_src string, size long, source_size long, target double, whole long, take long, n long")
     chosen = materialise(chosen)
     rows = base.join(chosen, ["_src", "size"])
-    bucket = F.when(F.col("n") > GROUP_ROWS, F.shiftrightunsigned("_r", 54)).otherwise(F.lit(0).cast("long"))
+    bucket = F.when(F.col("n") > GROUP_ROWS, F.shiftrightunsigned("_r", 64 - BUCKET_BITS)).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("_b", bucket)
     # only lengths taken in part need ranks
     part = (F.col("take") > 0) & (F.col("take") < F.col("n"))
