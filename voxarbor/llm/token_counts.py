@@ -1,20 +1,21 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
-Each pre-token is inserted into a trie; a node holds the forward score of the prefix it
-stands for (best weight, token count and last piece), computed from the nodes above it the
-first time the prefix is seen and shared by all pre-tokens that begin with it.  The counts
-at terminal nodes are stored and a text's count is their sum.  Weights are those of
+Distinct pre-tokens of a slice of texts form a trie, which is visited depth first: sorted
+pre-tokens are its paths, and the nodes of the current path lie on a stack.  A node holds
+the forward score of its prefix (best weight, token count and last piece), computed once
+from the node above and shared by all pre-tokens below.  The counts at terminal nodes are
+stored and a text's count is their sum.  Weights are those of
 `vocabulary.Pieces`: scores in unigram models (ties: fewer tokens), neighbour consistency
 in merge models; a character without a piece counts its UTF-8 bytes.
 
-Tries are a worker's own and start anew beyond NODES nodes, which changes no result.
+Terminal counts are a worker's own and start anew beyond TERMINALS, which changes no result.
 
 Cases: null text has null tokens; empty text has 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,75 +24,119 @@ from . import vocabulary
 from .common import pieces as slices
 from .vocabulary import Pieces
 
-NODES = 250_000
-#: Longer pre-tokens are counted without being kept.
+TERMINALS = 500_000
+#: Counts of longer pre-tokens are kept for the slice only.
 KEEP_CHARS = 64
+#: Last pieces whose followers a worker remembers, at most.
+PREVIOUS = 20_000
 
 
 class CountTrie:
+    """Nodes are (score, tokens, last piece, open): `open` holds, for each start from which a
+    piece may still be under way, the place in the piece trie and the forward state of the
+    start.  A new node only moves its parent's open starts by one character."""
+
     def __init__(self, pieces: Pieces):
         self.pieces, self.cut = pieces, vocabulary.cutter(pieces)
+        self.merges = pieces.kind == "bpe"
         self.byte_weight = min(pieces.scores.values(), default=0.0) - 10.0
-        self.clear()
-
-    def clear(self) -> None:
-        #: children, score, tokens, last piece ("" after bytes or at the root)
-        self.root = ({}, 0.0, 0, "")
-        self.nodes, self.terminal = 1, {}
-
-    def _node(self, path: list, token: str, i: int) -> tuple:
-        """Forward state of token[:i], from the states of its proper prefixes."""
-        p, merges, best = self.pieces, self.pieces.kind == "bpe", None
-        ids, fits = p.ids, p.fits
-        for a in range(max(0, i - p.longest), i):
-            piece = token[a:i]
-            if piece not in ids:
+        self.starts: dict = {}
+        for piece in pieces.ids:
+            node = self.starts
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+        self.following: dict[str, dict[str, bool]] = {}
+        self.root = (0.0, 0, "", [(self.starts, 0.0, 0, "", {})])
+        self.terminal: dict[str, int] = {}
+
+    def _followers(self, last: str) -> dict[str, bool]:
+        known = self.following.get(last)
+        if known is None:
+            if len(self.following) >= PREVIOUS:
+                self.following.clear()
+            known = self.following[last] = {}
+        return known
+
+    def _node(self, parent: tuple, c: str) -> tuple:
+        """Forward state of the parent's prefix and one more character."""
+        merges, scores, fits = self.merges, self.pieces.scores, self.pieces.fits
+        under_way, found, single = [], None, False
+        for place, score, count, last, known in parent[3]:
+            nxt = place.get(c)
+            if nxt is None:
                 continue
-            _, score, count, last = path[a]
+            under_way.append((nxt, score, count, last, known))
+            piece = nxt.get("")
+            if piece is None:
+                continue
+            single = single or len(piece) == 1
             if merges:
-                if count < 0 or (last and not fits(last, piece)):
-                    continue
-                return ({}, 0.0, count + 1, piece)  # the one consistent segmentation
-            score += p.scores[piece]
-            if best is None or (score, -count - 1) > (best[1], -best[2]):
-                best = ({}, score, count + 1, piece)
-        if best is None and token[i - 1] not in ids:
-            _, score, count, _ = path[i - 1]
-            n = len(token[i - 1].encode("utf-8", "surrogatepass"))
-            if count >= 0:
-                return ({}, score + n * self.byte_weight, count + n, "")
-        return best or ({}, 0.0, -1, "")  # no segmentation ends here
-
-    def insert(self, token: str) -> int:
-        node, path = self.root, [self.root]
-        for i, c in enumerate(token, 1):
-            nxt = node[0].get(c)
-            if nxt is None:
-                nxt = node[0][c] = self._node(path, token, i)
-                self.nodes += 1
-            path.append(nxt)
-            node = nxt
-        return node[2]
-
-    def count(self, text: str) -> int:
-        terminal, total = self.terminal, 0
-        for token in self.cut.findall(vocabulary.normalise(text, self.pieces)):
-            n = terminal.get(token)
-            if n is None:
-                if len(token) > KEEP_CHARS:
-                    n = self._once(token)
-                else:
-                    n = terminal[token] = self.insert(token)
-                    if self.nodes >= NODES:
-                        self.clear()
-            total += n
-        return total
-
-    def _once(self, token: str) -> int:
-        path = [self.root]
-        for i in range(1, len(token) + 1):
-            path.append(self._node(path, token, i))
-        return path[-1][2]
+                if found is None:
+                    ok = True
+                    if last:
+                        ok = known.get(piece)
+                        if ok is None:
+                            ok = known[piece] = fits(last, piece)
+                    if ok:
+                        found = (0.0, count + 1, piece)
+            else:
+                score += scores[piece]
+                if found is None or (score, -count - 1) > (found[0], -found[1]):
+                    found = (score, count + 1, piece)
+        if found is None and not single and parent[1] >= 0:
+            n = len(c.encode("utf-8", "surrogatepass"))
+            found = (parent[0] + n * self.byte_weight, parent[1] + n, "")
+        if found is None:
+            return 0.0, -1, "", under_way  # no segmentation ends here
+        under_way.append((self.starts, *found, self._followers(found[2]) if merges and found[2] else {}))
+        return *found, under_way
+
+    def add(self, tokens: Iterable[str]) -> None:
+        """Store the counts of pre-tokens, visiting their trie depth first."""
+        path, before, step = [self.root], "", self._node
+        for token in sorted(tokens):
+            shared = 0
+            for a, b in zip(before, token, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            node = path[-1]
+            for c in token[shared:]:
+                node = step(node, c)
+                path.append(node)
+            self.terminal[token] = node[1]
+            before = token
+
+    def counts(self, texts: list[str | None]) -> list[int | None]:
+        if len(self.terminal) >= TERMINALS:
+            self.terminal.clear()
+        terminal, cut = self.terminal, self.cut
+        cuts = [None if t is None else cut.findall(vocabulary.normalise(t, self.pieces)) for t in texts]
+        new = set()
+        for tokens in cuts:
+            if tokens:
+                new.update(tokens)
+        new.difference_update(terminal)
+        self.add(new)
+        out = [None if tokens is None else sum(map(terminal.__getitem__, tokens)) for tokens in cuts]
+        for token in new:
+            if len(token) > KEEP_CHARS:
+                del terminal[token]
+        return out
+
+
+#: The trie a worker process built last; later tasks in the process go on with it.
+_BUILT: dict[int, CountTrie] = {}
+
+
+def _trie(shared) -> CountTrie:
+    key = id(shared.value)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = CountTrie(shared.value)
+    return _BUILT[key]
 
 
 def count_tokens(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: str = "text") -> DataFrame:
@@ -102,10 +147,10 @@ def count_tokens(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: st
     schema = known.select(*keep).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = CountTrie(shared.value)
+        trie = _trie(shared)
         for batch in batches:
             for part in slices(batch, text):
-                n = [None if t is None else trie.count(t) for t in part.column(text).to_pylist()]
+                n = trie.counts(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64())], names=schema.names)
 
     return known.mapInArrow(run, schema)
