@@ -28,6 +28,8 @@ from .vocabulary import Pieces
 
 #: Pre-tokens a worker remembers, at most.
 MEMO = 400_000
+#: Last pieces whose followers a worker remembers, at most.
+PREVIOUS = 20_000
 #: Weight of a byte arc in unigram models, below the smallest score.
 BYTE_PENALTY = 10.0
 
@@ -44,19 +46,28 @@ class Transducer:
             node[""] = (piece, i)
         self.byte_weight = BYTE_PENALTY - min(pieces.scores.values(), default=0.0)
         self.memo: dict[str, bytes] = {}
+        self.following: dict[str, dict[str, bool]] = {}
 
     def shortest(self, text: str) -> list[int]:
         """Ids along the shortest path through the lattice of one pre-token."""
-        n, merges = len(text), self.pieces.kind == "bpe"
-        fits, root = self.pieces.fits, self.root
-        # states[i]: last piece -> (weight, previous position, previous piece, ids put out);
-        # unigram weights do not depend on the last piece, so its states fall together
-        states: list[dict] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, -1, "", ())
+        return self._by_neighbours(text) if self.pieces.kind == "bpe" else self._by_score(text)
+
+    def _by_neighbours(self, text: str) -> list[int]:
+        """Weights 0 and infinity.  A prefix has one consistent segmentation at most, so one
+        state of finite weight is left at each position: its last piece."""
+        n, root, following, fits = len(text), self.root, self.following, self.pieces.fits
+        last: list = [None] * (n + 1)
+        back, put = [0] * (n + 1), [()] * (n + 1)
+        last[0] = ""
         for i in range(n):
-            here = states[i]
-            if not here:
+            previous = last[i]
+            if previous is None:
                 continue
+            known = following.get(previous)
+            if known is None:
+                if len(following) >= PREVIOUS:
+                    following.clear()
+                known = following[previous] = {}
             node, j = root, i
             single = False
             while j < n and (node := node.get(text[j])) is not None:
@@ -64,27 +75,54 @@ class Transducer:
                 final = node.get("")
                 if final is None:
                     continue
+                if j == i + 1:
+                    single = True
+                if last[j] is not None:
+                    continue
                 piece, k = final
-                single = single or j == i + 1
-                there, to = states[j], piece if merges else "*"
-                w = 0.0 if merges else -self.pieces.scores[piece]
-                for last, (weight, *_) in here.items():
-                    if merges and last and not fits(last, piece):
+                if previous:
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = known[piece] = fits(previous, piece)
+                    if not ok:
                         continue
-                    if to not in there or weight + w < there[to][0]:
-                        there[to] = (weight + w, i, last, (k,))
+                last[j], back[j], put[j] = piece, i, (k,)
+            if not single and last[i + 1] is None:
+                last[i + 1], back[i + 1] = "", i
+                put[i + 1] = tuple(self.pieces.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass"))
+        return self._backward(back, put, n)
+
+    def _by_score(self, text: str) -> list[int]:
+        """Weights are negative scores; they do not depend on the last piece, so the states
+        of a position fall together.  Ties: the path found first."""
+        n, root, scores = len(text), self.root, self.pieces.scores
+        weight = [0.0] + [float("inf")] * n
+        back, put = [0] * (n + 1), [()] * (n + 1)
+        for i in range(n):
+            node, j = root, i
+            single = False
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                final = node.get("")
+                if final is None:
+                    continue
+                single = single or j == i + 1
+                w = weight[i] - scores[final[0]]
+                if w < weight[j]:
+                    weight[j], back[j], put[j] = w, i, (final[1],)
             if not single:
                 ids = tuple(self.pieces.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                there, to = states[i + 1], "" if merges else "*"
-                for last, (weight, *_) in here.items():
-                    w = weight + self.byte_weight * len(ids)
-                    if to not in there or w < there[to][0]:
-                        there[to] = (w, i, last, ids)
-        at, last = n, min(states[n], key=lambda x: states[n][x][0])
+                w = weight[i] + self.byte_weight * len(ids)
+                if w < weight[i + 1]:
+                    weight[i + 1], back[i + 1], put[i + 1] = w, i, ids
+        return self._backward(back, put, n)
+
+    @staticmethod
+    def _backward(back: list[int], put: list[tuple], at: int) -> list[int]:
         out: list[tuple] = []
         while at > 0:
-            _, at, last, ids = states[at][last]
-            out.append(ids)
+            out.append(put[at])
+            at = back[at]
         return [k for ids in reversed(out) for k in ids]
 
     def encode(self, text: str) -> np.ndarray:
@@ -115,6 +153,19 @@ class Transducer:
         return raw.decode("utf-8", "surrogatepass")
 
 
+#: The machine a worker process built last, with what it remembers; tasks that follow in
+#: the same process go on with it.
+_BUILT: dict[int, Transducer] = {}
+
+
+def _machine(shared) -> Transducer:
+    key = id(shared.value)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Transducer(shared.value)
+    return _BUILT[key]
+
+
 def encode_decode(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: str = "text") -> DataFrame:
     """docs with ids, n_tokens, decoded_sha256 (of the text decoded from the ids, UTF-8) and
     round_trip (the decoded text is the text) in place of the text."""
@@ -124,7 +175,7 @@ def encode_decode(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: s
     schema = known.select(*keep).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = _machine(shared)
         table = machine.decoder()
         for batch in batches:
             for part in slices(batch, text):
