@@ -110,6 +110,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 d, h = d[order], h[order]
                 new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
                 again = np.flatnonzero(~new)
+                again = again[new[again - 1]]  # one is enough
                 names = np.array([t[i] for i in fresh], dtype=np.int64)
                 rows_h = np.concatenate([h[new], h[again]]).view(np.int64)
                 rows_t = np.concatenate([names[d[new]], names[d[again]] ^ 1])
@@ -291,7 +292,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     anchors = _anchors(base, window)
     shared = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     hot = F.col("n") > FREQUENT
-    shared = shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), hot.alias("hot"))
+    # Written out, so that the join below is one of two plain exchanges and Spark can split
+    # the rows of a frequent anchor among tasks.
+    shared = materialise(shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), hot.alias("hot")))
     by_text = anchors.join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "key", "hot")).alias("anchors"))
     reps = ids.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     wanted = by_text.join(reps, "t")
