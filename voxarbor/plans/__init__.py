@@ -1,3 +1,3 @@
 """Registered queries and their oracle SQL; importing a plan module registers its queries."""
 
-from . import volume  # noqa: F401
+from . import trees, volume  # noqa: F401
