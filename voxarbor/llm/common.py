@@ -6,7 +6,8 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make bigger batches costly.
 ARROW_ROWS = "500"
@@ -57,3 +58,61 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
         held += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+#: Words of the bitmaps below: 2**17 longs, 1 MB of bits whatever the number of ids.
+BITMAP_WORDS = 1 << 17
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    one = F.expr("shiftleft(1L, 0)")
+    bit = F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(BITMAP_WORDS)), bit
+
+
+def maybe_among(docs: DataFrame, ids: DataFrame, key: str, id_: str) -> DataFrame:
+    """docs with _maybe: false where docs[key] is surely not among ids[id_].
+
+    Long texts should not cross the network to meet a few ids.  The ids are folded into a
+    bitmap of fixed size, which is broadcast; only rows that pass it need an exact join.
+    On very many ids it fills up and more rows pass, which changes no result."""
+    word, bit = _bit(F.col(id_))
+    bitmap = ids.where(F.col(id_).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    mine, own = _bit(F.col(key).cast(ids.schema[id_].dataType))
+    joined = docs.withColumn("_word", mine).join(F.broadcast(bitmap), "_word", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(own) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+class Memo:
+    """What was asked lately: two generations of at most `size` entries each.  What is asked
+    again moves to the young one; the old one is forgotten when the young one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+_STATE: dict = {}
+
+
+def worker_state(name: str, shared=None, build=None):
+    """What a worker process keeps from task to task, built from a broadcast value.
+
+    Tasks of one operator that follow each other in a process go on with it; the first task
+    of another operator drops it, so a process holds one operator's memory at a time."""
+    key = (name, id(shared.value) if shared is not None else None)
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build(shared.value) if build is not None else None
+    return _STATE[key]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import materialise, maybe_among, pieces, worker_state
 
 GRAM = 6
 #: Texts that share an anchor beyond this number make it a shard of its own.
@@ -89,6 +89,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     a row with another t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring")
         memo, seen = _WordHashes(), set()
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -297,8 +298,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     shared = materialise(shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), hot.alias("hot")))
     by_text = anchors.join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "key", "hot")).alias("anchors"))
     reps = ids.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
-    wanted = by_text.join(reps, "t")
-    runs = materialise(_runs(base.join(wanted, ["doc_id", "t"]).select("doc_id", "t", "text", "anchors"), window))
+    wanted = materialise(by_text.join(reps, "t"))
+    near = maybe_among(base, wanted, "doc_id", "doc_id").where("_maybe")
+    runs = materialise(_runs(near.join(wanted, ["doc_id", "t"]).select("doc_id", "t", "text", "anchors"), window))
     place = F.struct("doc_id", "t", "start")
     frequent = runs.where("hot").groupBy("key", "words").agg(F.min(place).alias("f"))
     first = frequent.select("key", "f.*", "words")
@@ -318,9 +320,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     added = ["n_words", "n_removed", "kept", "kept_sha256"]
     docs = docs.drop(*added)
     found = materialise(repeated_ranges(docs, window)).withColumnsRenamed({"doc_id": "_id", "t": "_t", "ranges": "_ranges", "copy": "_copy"})
-    on = (docs.doc_id.cast("long") == F.col("_id")) & (F.xxhash64(docs.text) == F.col("_t"))
-    joined = docs.join(found, on, "left").drop("_id", "_t")
     names = docs.columns
+    on = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    marked = maybe_among(docs, found, "doc_id", "_id")
+    same = marked.where("NOT _maybe").withColumns({"_ranges": F.lit(None).cast(found.schema["_ranges"].dataType), "_copy": F.lit(None).cast("boolean")})
+    joined = marked.where("_maybe").join(found, on, "left").drop("_id", "_t").unionByName(same)
     schema = docs.select("*").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
