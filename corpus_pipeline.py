@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxarbor.llm import langid, mixing, sentencepiece_fst, simhash, substring
-from voxarbor.llm.common import materialise, table, tune
+from voxarbor.llm.common import materialise, maybe_among, table, tune
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     tune(spark)
     groups = simhash.near_duplicates(docs, k=5, similarity=0.8)
     gone = groups.where("doc_id <> group").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    gone = materialise(gone)
+    marked = maybe_among(docs, gone, "doc_id", "_gone")
+    checked = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return marked.where("NOT _maybe").unionByName(checked).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import materialise, maybe_among, pieces, worker_state
 from .components import components
 
 SEED = 42
 #: Low bit and width of each segment of a 64-bit fingerprint.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GROUP_ROWS = 20_000
+#: Coarse buckets in which keys are counted first.
+COARSE = 1 << 16
 #: Generator of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: In the similarity stage, runs up to this size give all their pairs.
@@ -147,6 +149,7 @@ def fingerprints(docs: DataFrame, k: int, prints: int = 1, text: str = "text", k
         schema = schema.add(f"fp{i}", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             for part in pieces(batch, text):
                 out = []
@@ -223,7 +226,12 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None, pairs: bool
                     [pa.array(k), pa.array(ids[s : s + 256][r]), pa.array(fps[s : s + 256][r])], names=["key", "id", "fp"])
 
     keyed = nodes.where(F.col("id").isNotNull()).select("id", "fp").mapInArrow(expand, "key long, id long, fp long")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
+    # A key with many rows lies in a coarse bucket with many rows: count these first (few
+    # counts a task), and keys only where a bucket leaves room for a large one.
+    coarse = F.pmod(F.xxhash64("key"), F.lit(COARSE)).alias("_c")
+    full = keyed.groupBy(coarse).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS).select("_c")
+    sizes = keyed.withColumn("_c", coarse).join(F.broadcast(full), "_c", "left_semi")
+    sizes = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
     hot = sizes.select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("m"))
     mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     block = F.expr("explode(CASE WHEN m IS NULL THEN array(-1) ELSE sequence(0, m - 1) END)")
@@ -274,7 +282,7 @@ def _jaccard(rows: DataFrame, at_least: float) -> DataFrame:
         for batch in batches:
             ok = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 total = len(x) + len(y) - both
                 ok.append(bool(total) and both / total >= at_least)
@@ -309,10 +317,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                s = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k)).tobytes() for t in part.column("text").to_pylist()]
+                # 32 bits of each hash: two texts of 1,000 shingles share one by chance once in 4,000 pairs
+                s = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k).astype(np.uint32)).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(s, pa.binary())], names=["id", "s"])
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = materialise(wanted)
+    texts = maybe_among(docs.select("doc_id", "text"), wanted, "doc_id", "id").where("_maybe").drop("_maybe")
+    texts = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     sets_of = materialise(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
     both = edges.join(sets_of.select(F.col("id").alias("u"), F.col("s").alias("a")), "u")
     both = both.join(sets_of.select(F.col("id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
