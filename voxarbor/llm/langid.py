@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, worker_state
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 24, 8
 WINDOW = 256
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        tables = net.tables() if net else None
+        tables = worker_state("langid", shared, lambda net: net.tables() if net else None)
         for batch in batches:
             for part in pieces(batch, text):
                 texts = part.column(text).to_pylist()

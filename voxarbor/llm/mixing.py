@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import materialise, pieces, worker_state
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
@@ -35,6 +35,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size: words [^\\x20\\x09-\\x0D]+ of the whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("mixing")
         for batch in batches:
             for part in pieces(batch, "text"):
                 # bytes.split() cuts at exactly \x20 and \x09-\x0D

@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from . import vocabulary
+from .common import Memo, worker_state
 from .common import pieces as slices
 from .vocabulary import Pieces
 
-#: Pre-tokens a worker remembers, at most.
-MEMO = 400_000
-#: Last pieces whose followers a worker remembers, at most.
-PREVIOUS = 20_000
+#: Pre-tokens in each generation that a worker remembers.
+MEMO = 250_000
 #: Weight of a byte arc in unigram models, below the smallest score.
 BYTE_PENALTY = 10.0
 
@@ -45,8 +44,8 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = (piece, i)
         self.byte_weight = BYTE_PENALTY - min(pieces.scores.values(), default=0.0)
-        self.memo: dict[str, bytes] = {}
-        self.following: dict[str, dict[str, bool]] = {}
+        self.memo = Memo(MEMO)
+        self.following = vocabulary.Followers(pieces)
 
     def shortest(self, text: str) -> list[int]:
         """Ids along the shortest path through the lattice of one pre-token."""
@@ -55,7 +54,7 @@ class Transducer:
     def _by_neighbours(self, text: str) -> list[int]:
         """Weights 0 and infinity.  A prefix has one consistent segmentation at most, so one
         state of finite weight is left at each position: its last piece."""
-        n, root, following, fits = len(text), self.root, self.following, self.pieces.fits
+        n, root, following = len(text), self.root, self.following
         last: list = [None] * (n + 1)
         back, put = [0] * (n + 1), [()] * (n + 1)
         last[0] = ""
@@ -63,11 +62,7 @@ class Transducer:
             previous = last[i]
             if previous is None:
                 continue
-            known = following.get(previous)
-            if known is None:
-                if len(following) >= PREVIOUS:
-                    following.clear()
-                known = following[previous] = {}
+            known = following.of(previous)
             node, j = root, i
             single = False
             while j < n and (node := node.get(text[j])) is not None:
@@ -83,7 +78,7 @@ class Transducer:
                 if previous:
                     ok = known.get(piece)
                     if ok is None:
-                        ok = known[piece] = fits(previous, piece)
+                        ok = following.ask(known, previous, piece)
                     if not ok:
                         continue
                 last[j], back[j], put[j] = piece, i, (k,)
@@ -126,15 +121,16 @@ class Transducer:
         return [k for ids in reversed(out) for k in ids]
 
     def encode(self, text: str) -> np.ndarray:
-        memo, found = self.memo, []
+        memo, young, found = self.memo, self.memo.young, []
         for token in self.cut.findall(vocabulary.normalise(text, self.pieces)):
-            ids = memo.get(token)
+            ids = young.get(token)
             if ids is None:
-                ids = np.array(self.shortest(token), dtype=np.int32).tobytes()
-                if len(token) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[token] = ids
+                ids = memo.get(token)
+                if ids is None:
+                    ids = np.array(self.shortest(token), dtype=np.int32).tobytes()
+                    if len(token) <= 64:
+                        memo.put(token, ids)
+                young = memo.young
             found.append(ids)
         return np.frombuffer(b"".join(found), dtype=np.int32)
 
@@ -153,19 +149,6 @@ class Transducer:
         return raw.decode("utf-8", "surrogatepass")
 
 
-#: The machine a worker process built last, with what it remembers; tasks that follow in
-#: the same process go on with it.
-_BUILT: dict[int, Transducer] = {}
-
-
-def _machine(shared) -> Transducer:
-    key = id(shared.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Transducer(shared.value)
-    return _BUILT[key]
-
-
 def encode_decode(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: str = "text") -> DataFrame:
     """docs with ids, n_tokens, decoded_sha256 (of the text decoded from the ids, UTF-8) and
     round_trip (the decoded text is the text) in place of the text."""
@@ -175,7 +158,7 @@ def encode_decode(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: s
     schema = known.select(*keep).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(shared)
+        machine = worker_state("encode", shared, Transducer)
         table = machine.decoder()
         for batch in batches:
             for part in slices(batch, text):

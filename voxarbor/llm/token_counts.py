@@ -8,7 +8,7 @@ stored and a text's count is their sum.  Weights are those of
 `vocabulary.Pieces`: scores in unigram models (ties: fewer tokens), neighbour consistency
 in merge models; a character without a piece counts its UTF-8 bytes.
 
-Terminal counts are a worker's own and start anew beyond TERMINALS, which changes no result.
+A worker remembers the terminal counts asked lately; forgetting changes no result.
 
 Cases: null text has null tokens; empty text has 0.
 """
@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vocabulary
+from .common import Memo, worker_state
 from .common import pieces as slices
 from .vocabulary import Pieces
 
-TERMINALS = 500_000
-#: Counts of longer pre-tokens are kept for the slice only.
+TERMINALS = 250_000
+#: Counts of longer pre-tokens are kept for the slice only; others in two generations.
 KEEP_CHARS = 64
-#: Last pieces whose followers a worker remembers, at most.
-PREVIOUS = 20_000
 
 
 class CountTrie:
@@ -46,21 +45,13 @@ class CountTrie:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
-        self.following: dict[str, dict[str, bool]] = {}
+        self.following = vocabulary.Followers(pieces)
         self.root = (0.0, 0, "", [(self.starts, 0.0, 0, "", {})])
-        self.terminal: dict[str, int] = {}
-
-    def _followers(self, last: str) -> dict[str, bool]:
-        known = self.following.get(last)
-        if known is None:
-            if len(self.following) >= PREVIOUS:
-                self.following.clear()
-            known = self.following[last] = {}
-        return known
+        self.terminal = Memo(TERMINALS)
 
     def _node(self, parent: tuple, c: str) -> tuple:
         """Forward state of the parent's prefix and one more character."""
-        merges, scores, fits = self.merges, self.pieces.scores, self.pieces.fits
+        merges, scores, following = self.merges, self.pieces.scores, self.following
         under_way, found, single = [], None, False
         for place, score, count, last, known in parent[3]:
             nxt = place.get(c)
@@ -77,7 +68,7 @@ class CountTrie:
                     if last:
                         ok = known.get(piece)
                         if ok is None:
-                            ok = known[piece] = fits(last, piece)
+                            ok = following.ask(known, last, piece)
                     if ok:
                         found = (0.0, count + 1, piece)
             else:
@@ -89,12 +80,12 @@ class CountTrie:
             found = (parent[0] + n * self.byte_weight, parent[1] + n, "")
         if found is None:
             return 0.0, -1, "", under_way  # no segmentation ends here
-        under_way.append((self.starts, *found, self._followers(found[2]) if merges and found[2] else {}))
+        under_way.append((self.starts, *found, following.of(found[2]) if merges and found[2] else {}))
         return *found, under_way
 
-    def add(self, tokens: Iterable[str]) -> None:
-        """Store the counts of pre-tokens, visiting their trie depth first."""
-        path, before, step = [self.root], "", self._node
+    def visit(self, tokens: Iterable[str]) -> dict[str, int]:
+        """Counts of pre-tokens, visiting their trie depth first."""
+        path, before, step, out = [self.root], "", self._node, {}
         for token in sorted(tokens):
             shared = 0
             for a, b in zip(before, token, strict=False):
@@ -106,37 +97,27 @@ class CountTrie:
             for c in token[shared:]:
                 node = step(node, c)
                 path.append(node)
-            self.terminal[token] = node[1]
+            out[token] = node[1]
             before = token
+        return out
 
     def counts(self, texts: list[str | None]) -> list[int | None]:
-        if len(self.terminal) >= TERMINALS:
-            self.terminal.clear()
-        terminal, cut = self.terminal, self.cut
-        cuts = [None if t is None else cut.findall(vocabulary.normalise(t, self.pieces)) for t in texts]
-        new = set()
+        cuts = [None if t is None else self.cut.findall(vocabulary.normalise(t, self.pieces)) for t in texts]
+        asked = set()
         for tokens in cuts:
             if tokens:
-                new.update(tokens)
-        new.difference_update(terminal)
-        self.add(new)
-        out = [None if tokens is None else sum(map(terminal.__getitem__, tokens)) for tokens in cuts]
-        for token in new:
-            if len(token) > KEEP_CHARS:
-                del terminal[token]
-        return out
-
-
-#: The trie a worker process built last; later tasks in the process go on with it.
-_BUILT: dict[int, CountTrie] = {}
-
-
-def _trie(shared) -> CountTrie:
-    key = id(shared.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = CountTrie(shared.value)
-    return _BUILT[key]
+                asked.update(tokens)
+        memo, terminal = self.terminal, {}
+        for token in asked:
+            n = memo.get(token)
+            if n is not None:
+                terminal[token] = n
+        new = self.visit(asked.difference(terminal))
+        for token, n in new.items():
+            if len(token) <= KEEP_CHARS:
+                memo.put(token, n)
+        terminal |= new
+        return [None if tokens is None else sum(map(terminal.__getitem__, tokens)) for tokens in cuts]
 
 
 def count_tokens(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: str = "text") -> DataFrame:
@@ -147,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: st
     schema = known.select(*keep).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(shared)
+        trie = worker_state("count", shared, CountTrie)
         for batch in batches:
             for part in slices(batch, text):
                 n = trie.counts(part.column(text).to_pylist())

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs remembered by a worker, at most.
-PAIRS = 1_000_000
+PAIRS = 600_000
 
 
 @dataclass
@@ -28,10 +28,6 @@ class Pieces:
     dummy_prefix: bool = True
     names: list[str] = field(default_factory=list)
     longest: int = 0
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"pairs": {}}
 
     def merge(self, text: str) -> list[str]:
         """Pieces after merging characters by falling score, leftmost first."""
@@ -61,14 +57,30 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether b may follow a."""
-        if self.kind != "bpe":
-            return True
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[(a, b)] = self.merge(a + b) == [a, b]
-        return known
+        return self.kind != "bpe" or self.merge(a + b) == [a, b]
+
+
+class Followers(dict):
+    """Which pieces may follow a piece, as far as asked: last piece -> {piece: answer}.
+    Forgets everything beyond PAIRS answers."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.asked = pieces, 0
+
+    def of(self, last: str) -> dict[str, bool]:
+        if self.asked >= PAIRS:
+            self.clear()
+            self.asked = 0
+        found = self.get(last)
+        if found is None:
+            found = self[last] = {}
+        return found
+
+    def ask(self, known: dict[str, bool], last: str, piece: str) -> bool:
+        self.asked += 1
+        ok = known[piece] = self.pieces.fits(last, piece)
+        return ok
 
 
 def load(path: str = DEFAULT_MODEL) -> Pieces:
@@ -97,7 +109,6 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
         whole = Pieces(kind, ids, scores, byte_ids, sp.unk_id())
         dead = [p for p in ids if whole.merge(p) != [p]]  # never made by merging
         for p in dead:
-            whole.pairs.clear()
             del ids[p]
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     return Pieces(kind, ids, scores, byte_ids, sp.unk_id(), dummy, names, max(map(len, ids), default=0))
