@@ -34,7 +34,7 @@ def mutual_nearest(spark, sf):
     return matching.mutual_nearest(fx.proof(spark, sf), fx.auto(spark, sf), 40.0)
 
 
-@register("scaled_ball_search", f"WITH {PROOF}, {AUTO} SELECT a, b, (a.x-b.x)*(a.x-b.x)*0.25 + (a.y-b.y)*(a.y-b.y)*0.25 + (a.z-b.z)*(a.z-b.z)*1.0 AS d2 FROM a JOIN b ON (a.x-b.x)*(a.x-b.x)*0.25 + (a.y-b.y)*(a.y-b.y)*0.25 + (a.z-b.z)*(a.z-b.z) <= 225")
+@register("scaled_ball_search", f"WITH {PROOF}, {AUTO} SELECT a, b, CAST((a.x-b.x)*(a.x-b.x)*0.25 + (a.y-b.y)*(a.y-b.y)*0.25 + (a.z-b.z)*(a.z-b.z) AS DOUBLE) AS d2 FROM a JOIN b ON (a.x-b.x)*(a.x-b.x)*0.25 + (a.y-b.y)*(a.y-b.y)*0.25 + (a.z-b.z)*(a.z-b.z) <= 225")
 def scaled_ball_search(spark, sf):
     return matching.within(fx.proof(spark, sf), fx.auto(spark, sf), 15.0, (0.5, 0.5, 1.0))
 
@@ -188,7 +188,7 @@ def cluster_parse(spark, sf):
 def merge_annotations(spark, sf):
     s = fx.seeds(spark, sf)
     u = s.where("seed_id % 2 = 0").select(*XYZ).unionByName(s.where("seed_id % 3 = 0").select(*XYZ)).distinct()
-    return u.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*XYZ)) - 1)
+    return u.withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*XYZ)) - 1).cast("long"))
 
 
 @register("box_algebra", f"WITH {SEEDS} SELECT z % 4 AS grp, min(x) AS min_x, max(x + radius) AS max_x, min(y) AS min_y, max(y + radius) AS max_y, greatest(max(x), 8) AS clip_lo, least(max(x + radius), 40) AS clip_hi, CAST((max(x + radius) - min(x)) * (max(y + radius) - min(y)) AS BIGINT) AS area FROM s GROUP BY 1")
