@@ -149,3 +149,65 @@ def faces(mask: DataFrame) -> DataFrame:
     other = mask.select(*(F.col(a).alias(f"n{a}") for a in XYZ))
     on = [F.col(a) + F.col(f"d{a}") == F.col(f"n{a}") for a in XYZ]
     return spread.join(other, on, "left_anti")
+
+
+def quads(mask: DataFrame) -> DataFrame:
+    """Surface of the mask as quads: four corner keys in order around each exposed face."""
+    f = faces(mask)
+    axis = F.when(F.col("dx") != 0, 0).when(F.col("dy") != 0, 1).otherwise(2)
+    far = [F.col(a) + (F.col(f"d{a}") > 0).cast("int") for a in XYZ]
+    corners = []
+    for i, j in ((0, 0), (1, 0), (1, 1), (0, 1)):
+        on = [(far[0], F.col("y") + i, F.col("z") + j), (F.col("x") + i, far[1], F.col("z") + j), (F.col("x") + i, F.col("y") + j, far[2])]
+        pick = [F.when(axis == 0, on[0][k]).when(axis == 1, on[1][k]).otherwise(on[2][k]) for k in range(3)]
+        corners.append(key(*pick))
+    return f.select(*XYZ, "dx", "dy", "dz", F.array(*corners).alias("v"))
+
+
+def quad_edges(q: DataFrame) -> DataFrame:
+    """The undirected edges of quads, both diagonals included."""
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3)]
+    v = F.col("v")
+    e = F.array(*(F.struct(F.least(v[a], v[b]).alias("src"), F.greatest(v[a], v[b]).alias("dst")) for a, b in pairs))
+    return q.select(F.explode(e).alias("e")).select("e.*").distinct()
+
+
+def triangles(q: DataFrame) -> DataFrame:
+    v = F.col("v")
+    return q.select(F.explode(F.array(F.array(v[0], v[1], v[2]), F.array(v[0], v[2], v[3]))).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+
+
+def connected_attributes(mask: DataFrame, seeds: DataFrame) -> DataFrame:
+    """x, y, z, level, surface and the offset (px, py, pz) to the parent: the smallest active
+    neighbour one hop nearer to a seed (zero at seeds)."""
+    reach = materialise(reachable(mask, seeds))
+    spread = reach.select(*XYZ, "level", F.explode(offsets(FACE6)).alias("d"))
+    near = spread.select(*((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ), (F.col("level") + 1).alias("level"), F.struct(*((-F.col(f"d.d{a}")).alias(f"p{a}") for a in XYZ)).alias("p"))
+    parent = reach.select(*XYZ, "level").join(near, [*XYZ, "level"]).groupBy(*XYZ).agg(F.min("p").alias("p"))
+    edge = surface(mask).withColumn("surface", F.lit(True))
+    out = reach.join(parent, XYZ, "left").join(edge, XYZ, "left")
+    return out.select(*XYZ, "level", F.coalesce("surface", F.lit(False)).alias("surface"), *(F.coalesce(F.col(f"p.p{a}"), F.lit(0)).alias(f"p{a}") for a in XYZ))
+
+
+def morphology_steps(voxel_um: float, has_seeds: bool) -> dict[str, int]:
+    """Closing, opening, smoothing and coarsening steps for a voxel edge in micrometres."""
+    close = 7 / voxel_um if not has_seeds else max(1, int(1.5 / voxel_um + 0.5))
+    coarsen = 0 if voxel_um >= 1 else int(0.75 / voxel_um + 0.5)
+    return {"close": int(close), "open": int(5 / voxel_um), "smooth": max(0, int(4.33333 - 3.33333 * voxel_um)), "coarsen": coarsen}
+
+
+def cluster_bounds(labels: DataFrame, somas: DataFrame, orphans: bool = False) -> DataFrame:
+    """Per component: half-open bounds, voxels and its somas; components without one only on
+    request."""
+    box = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("voxels"), *(x for a in XYZ for x in (F.min(a).alias(f"{a}min"), (F.max(a) + 1).alias(f"{a}max"))))
+    held = labels.join(somas, XYZ).groupBy("comp").agg(F.array_sort(F.collect_list("seed_id")).alias("somas"))
+    return box.join(held, "comp", "left" if orphans else "inner")
+
+
+def windows(component: DataFrame, seeds: DataFrame, least: float, expand: float, voxel: tuple[float, float, float]) -> DataFrame:
+    """Per component: its inclusive bounds grown to its seeds by (least + radius + expand) /
+    voxel along each axis."""
+    grown = seeds.groupBy("comp").agg(*(x for a, s in zip(XYZ, voxel, strict=True) for r in [F.floor((F.lit(least + expand) + F.col("radius")) / F.lit(s)).cast("int")]
+                                        for x in (F.min(F.col(a) - r).alias(f"s_min_{a}"), F.max(F.col(a) + r).alias(f"s_max_{a}"))))
+    j = component.join(grown, "comp")
+    return j.select("comp", *(x for a in XYZ for x in (F.least(f"min_{a}", f"s_min_{a}").alias(f"min_{a}"), F.greatest(f"max_{a}", f"s_max_{a}").alias(f"max_{a}"))))

@@ -209,3 +209,45 @@ def goodness_of_fit(tree: DataFrame, soma: tuple[float, float, float]) -> DataFr
     angle = F.when(norm > 0, F.acos(F.greatest(F.least(dot / norm, F.lit(1.0)), F.lit(-1.0))))
     rows = neurites(tree).join(p.select("id", angle.alias("angle"), edge_length().alias("length"), "radius"), "id")
     return rows.groupBy("neurite").agg(F.avg("angle").alias("angle"), F.sum("length").alias("length"), F.avg("radius").alias("radius"), F.count(F.lit(1)).alias("nodes"))
+
+
+def merge_enclosed(tree: DataFrame) -> DataFrame:
+    """(id, into): nodes whose ball lies inside a neighbour's go into it, until none is left;
+    an encloser keeps its place and radius.  Chains end at the outermost encloser."""
+    e = enclosed(tree)
+    # of several enclosers the largest, then the smallest id; of two equal balls the smaller id stays
+    twins = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    one_way = e.join(twins, ["src", "dst"], "left_anti").unionByName(e.where("src < dst").join(twins, ["src", "dst"], "left_semi"))
+    best = one_way.join(tree.select(F.col("id").alias("src"), "radius"), "src")
+    up = best.groupBy(F.col("dst").alias("id")).agg(F.max_by("src", F.struct("radius", -F.col("src"))).alias("up"))
+    steps = tree.select("id").join(up, "id", "left").select("id", "up")
+    return climb(steps).select("id", F.col("top").alias("into"))
+
+
+def soma_sinks(tree: DataFrame, somas: DataFrame) -> DataFrame:
+    """(id, into): each soma swallows the nodes on its way up and down whose balls overlap it,
+    as far as each overlaps without a gap; a node between two somas goes to the smaller id."""
+    pos = tree.select("id", *(F.col(c).alias(f"q_{c}") for c in (*XYZ, "radius")))
+    s = somas.select(F.col("id").alias("soma")).join(pos.select(F.col("id").alias("soma"), *(F.col(f"q_{c}").alias(f"s_{c}") for c in (*XYZ, "radius"))), "soma")
+    e = materialise(undirected(tree))
+    frontier = materialise(s.select(F.col("soma").alias("id"), "soma"))
+    done = frontier
+    while not frontier.isEmpty():
+        near = frontier.join(e, frontier.id == e.src).select(F.col("dst").alias("id"), "soma").join(pos, "id").join(s, "soma")
+        d = F.sqrt(sum((F.col(f"q_{c}") - F.col(f"s_{c}")) * (F.col(f"q_{c}") - F.col(f"s_{c}")) for c in XYZ))
+        hit = near.where(d < F.col("q_radius") + F.col("s_radius")).groupBy("id").agg(F.min("soma").alias("soma"))
+        frontier = materialise(hit.join(done.select("id"), "id", "left_anti"))
+        done = materialise(done.unionByName(frontier))
+    return done.select("id", F.col("soma").alias("into"))
+
+
+def persistence_image(bars: DataFrame, size: int, most: float, spread: float) -> DataFrame:
+    """(i, j, value): a grid of Gaussian sums over bars (birth, death), normalised to its
+    largest value."""
+    c = F.sequence(F.lit(0), F.lit(size - 1))
+    cells = bars.select("birth", "death", F.explode(c).alias("i")).select("birth", "death", "i", F.explode(c).alias("j"))
+    at = lambda k: (F.col(k) + 0.5) * F.lit(most / size)
+    d2 = (F.col("birth") - at("i")) * (F.col("birth") - at("i")) + (F.col("death") - at("j")) * (F.col("death") - at("j"))
+    img = cells.groupBy("i", "j").agg(F.sum(F.exp(-d2 / F.lit(2 * spread * spread))).alias("v"))
+    top = img.agg(F.max("v").alias("top"))
+    return img.crossJoin(F.broadcast(top)).select("i", "j", (F.col("v") / F.col("top")).alias("value"))
