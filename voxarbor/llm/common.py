@@ -14,8 +14,11 @@ ARROW_ROWS = "500"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch of texts can hold on both sides of the pipe."""
+    """Bound what batches of long texts hold in memory: Arrow batches on both sides of the
+    pipe, column batches of the Parquet reader, row groups of the Parquet writer."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    spark.conf.set("parquet.block.size", str(32 << 20))
     return spark
 
 

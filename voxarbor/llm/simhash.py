@@ -300,7 +300,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     probability beyond; each is then verified on the whole shingle sets."""
     digest = F.coalesce(F.sha2(F.col("text"), 256), F.lit(""))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("d"))
-    copies = materialise(ids.join(ids.groupBy("d").agg(F.min("doc_id").alias("id")), "d").select("doc_id", "id"))
+    ids = materialise(ids)
+    firsts = materialise(ids.groupBy("d").agg(F.min("doc_id").alias("id")))  # a plain side: Spark can split a hot text's rows
+    copies = materialise(ids.join(firsts, "d").select("doc_id", "id"))
     prints = materialise(fingerprints(docs, k, prints=2))
     first = prints.join(copies.select("id").distinct(), prints.doc_id == F.col("id"), "left_semi")
     first = first.where("fp0 <> 0").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))

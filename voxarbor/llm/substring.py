@@ -288,7 +288,7 @@ def repeated_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     ids = materialise(base.select("doc_id", "t", F.unhex(F.sha2("text", 256)).alias("d")))
-    firsts = ids.groupBy("d").agg(F.min("doc_id").alias("id"))
+    firsts = materialise(ids.groupBy("d").agg(F.min("doc_id").alias("id")))  # as below
     copies = ids.join(firsts, "d").where("doc_id > id").select("doc_id", "t").distinct()
     anchors = _anchors(base, window)
     shared = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
