@@ -37,10 +37,12 @@ def march(voxels: DataFrame, seeds: DataFrame, weight, connectivity: int = 6) ->
     return best
 
 
-def shell_radius(mask: DataFrame, nodes: DataFrame, most: int, background: float) -> DataFrame:
+def shell_radius(mask: DataFrame, nodes: DataFrame, most: int, background: float, plane: bool = False) -> DataFrame:
     """Per node: the largest r up to `most` for which no shell up to r has more than the given
-    share of background voxels in the ball so far (at least 1)."""
+    share of background voxels in the ball (or, in plane, the disc) so far (at least 1)."""
     near = grid.balls(nodes.select("node", *XYZ, F.lit(most).alias("r")), "r")
+    if plane:
+        near = near.where("vz = z")
     d2 = sum((F.col(f"v{a}") - F.col(a)) * (F.col(f"v{a}") - F.col(a)) for a in XYZ)
     near = near.select("node", *(F.col(f"v{a}").alias(a) for a in XYZ), F.ceil(F.sqrt(d2.cast("double"))).cast("int").alias("shell"))
     on = near.join(mask.select(*XYZ).withColumn("on", F.lit(1)), list(XYZ), "left")
@@ -200,3 +202,17 @@ def assign_somas(tree: DataFrame, somas: DataFrame, cost) -> DataFrame:
         now = materialise(both.select("id", F.when(better, F.col("o.soma")).otherwise(F.col("soma")).alias("soma"), F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), better.alias("changed")))
         best, changed = now.drop("changed"), now.where("changed").select("id", "soma", "cost")
     return best
+
+
+def soma_units(tree: DataFrame, somas: DataFrame) -> DataFrame:
+    """(unit, nodes, somas): what is left between somas, with the somas each part touches.  A
+    part with one soma is that soma's; only parts with more need an assignment."""
+    gone = somas.select("id").distinct()
+    rest = tree.join(gone, "id", "left_anti")
+    cut = rest.join(gone.select(F.col("id").alias("s")), F.col("parent") == F.col("s"), "left").select("id", F.when(F.col("s").isNull(), F.col("parent")).alias("parent"))
+    edges = cut.where("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    unit = materialise(graph.components(rest.select("id"), edges))
+    touch = trees.undirected(tree).join(gone.select(F.col("id").alias("src")), "src").select(F.col("src").alias("soma"), F.col("dst").alias("id"))
+    held = unit.join(touch, "id").groupBy("comp").agg(F.array_sort(F.collect_set("soma")).alias("somas"))
+    sizes = unit.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"))
+    return sizes.join(held, "comp", "left").select(F.col("comp").alias("unit"), "nodes", "somas")

@@ -41,6 +41,23 @@ def shell_radius(spark, sf):
     return tracing.shell_radius(fx.mask(spark, sf, 10), fx.seeds(spark, sf).withColumnRenamed("seed_id", "node"), 3, 0.6)
 
 
+@register("shell_radius_xy", f"""WITH {IMG}, {mask_sql(10)}, {SEEDS}, {BOX}, b AS (SELECT seed_id, s.x + dx AS x, s.y + dy AS y, s.z + dz AS z, CAST(ceil(sqrt(dx*dx + dy*dy + dz*dz)) AS INTEGER) AS shell FROM s, box WHERE dx*dx + dy*dy <= 9 AND dz = 0),
+  h AS (SELECT seed_id, shell, count(*) AS n, count(*) - count(m.x) AS bg FROM b LEFT JOIN m USING (x, y, z) GROUP BY 1, 2), c AS (SELECT seed_id, shell, sum(bg) OVER (PARTITION BY seed_id ORDER BY shell) / sum(n) OVER (PARTITION BY seed_id ORDER BY shell) AS share FROM h)
+  SELECT seed_id AS node, coalesce(greatest(min(CASE WHEN share > 0.6 AND shell > 0 THEN shell END) - 1, CASE WHEN min(CASE WHEN share > 0.6 AND shell > 0 THEN shell END) IS NOT NULL THEN 1 END), 3) AS radius FROM c GROUP BY 1""")
+def shell_radius_xy(spark, sf):
+    return tracing.shell_radius(fx.mask(spark, sf, 10), fx.seeds(spark, sf).withColumnRenamed("seed_id", "node"), 3, 0.6, plane=True)
+
+
+@register("soma_units", f"""WITH RECURSIVE {TREE}, g AS (SELECT id FROM t WHERE id % 211 = 1), u(id, unit) AS (SELECT t.id, t.id FROM t WHERE id NOT IN (SELECT id FROM g) AND (parent IS NULL OR parent IN (SELECT id FROM g))
+  UNION ALL SELECT t.id, u.unit FROM u JOIN t ON t.parent = u.id WHERE t.id NOT IN (SELECT id FROM g)),
+  h AS (SELECT DISTINCT u.unit, g.id AS soma FROM u JOIN t ON t.id = u.id JOIN g ON g.id = t.parent UNION SELECT DISTINCT u.unit, g.id FROM g JOIN t ON t.id = g.id JOIN u ON u.id = t.parent)
+  SELECT n.unit, n.nodes, coalesce((SELECT string_agg(CAST(soma AS VARCHAR), ',' ORDER BY soma) FROM h WHERE h.unit = n.unit), '') AS somas FROM (SELECT unit, count(*) AS nodes FROM u GROUP BY 1) n""")
+def soma_units(spark, sf):
+    t = fx.tree(spark, sf)
+    u = tracing.soma_units(t, t.where("id % 211 = 1").select("id"))
+    return u.withColumn("somas", F.concat_ws(",", F.transform("somas", lambda i: i.cast("string"))))
+
+
 @register("trace_parents", f"WITH RECURSIVE {TREE}, {_NB}, r(id, level) AS (SELECT id, 0 FROM t WHERE id % 397 = 1 UNION SELECT v, level + 1 FROM r JOIN nb ON nb.u = r.id WHERE level < 60 AND v NOT IN (SELECT id FROM t WHERE id % 397 = 1)), l AS (SELECT id, min(level) AS level FROM r GROUP BY id) SELECT l.id, l.level, min(k.id) AS parent FROM l LEFT JOIN nb ON nb.u = l.id LEFT JOIN l k ON k.id = nb.v AND k.level = l.level - 1 GROUP BY 1, 2")
 def trace_parents(spark, sf):
     t = fx.tree(spark, sf)
