@@ -296,8 +296,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     k-word shingle sets of that Jaccard similarity or more.
 
     Candidates come from two independent fingerprints of each distinct text through the
-    Golay keys for 5 bits; they are complete up to 5 differing bits and found with falling
-    probability beyond; each is then verified on the whole shingle sets."""
+    Golay keys for 5 bits: complete up to 5 differing bits of either and found with falling
+    probability beyond.  Those near in both are verified on the whole shingle sets."""
     digest = F.coalesce(F.sha2(F.col("text"), 256), F.lit(""))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("d"))
     ids = materialise(ids)
@@ -306,12 +306,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     prints = materialise(fingerprints(docs, k, prints=2))
     first = prints.join(copies.select("id").distinct(), prints.doc_id == F.col("id"), "left_semi")
     first = first.where("fp0 <> 0").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
+    first = materialise(first)
     # equal fingerprints need no keys: link them to the smallest id that has them
     edges = None
-    for fp in ("fp0", "fp1"):
+    for fp, other in (("fp0", "fp1"), ("fp1", "fp0")):
         nodes = first.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"))
         same = first.join(nodes.select("fp", F.col("id").alias("v")), first[fp] == F.col("fp")).where("id <> v").select(F.col("id").alias("u"), "v")
         found = links(nodes, bits, key_bits=5, pairs=True).unionByName(same)
+        # The other fingerprint is independent: chance neighbours hardly ever agree in both.
+        a = first.select(F.col("id").alias("u"), F.col(other).alias("a"))
+        b = first.select(F.col("id").alias("v"), F.col(other).alias("b"))
+        found = found.join(a, "u").join(b, "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits + 2).select("u", "v")
         edges = found if edges is None else edges.unionByName(found)
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     wanted = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
