@@ -313,12 +313,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
         nodes = first.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"))
         same = first.join(nodes.select("fp", F.col("id").alias("v")), first[fp] == F.col("fp")).where("id <> v").select(F.col("id").alias("u"), "v")
         found = links(nodes, bits, key_bits=5, pairs=True).unionByName(same)
+        # A pair is proposed by each key it shares: once is enough.
+        found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         # The other fingerprint is independent: chance neighbours hardly ever agree in both.
         a = first.select(F.col("id").alias("u"), F.col(other).alias("a"))
         b = first.select(F.col("id").alias("v"), F.col(other).alias("b"))
         found = found.join(a, "u").join(b, "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits + 2).select("u", "v")
         edges = found if edges is None else edges.unionByName(found)
-    edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = materialise(edges.distinct())
     wanted = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
