@@ -15,6 +15,7 @@ that U+2581 in a text is a space to the model.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .vocabulary import Pieces
 
 #: Pre-tokens in each generation that a worker remembers.
 MEMO = 250_000
+#: Longer pre-tokens are not remembered.
+KEEP_CHARS = 64
 #: Weight of a byte arc in unigram models, below the smallest score.
 BYTE_PENALTY = 10.0
 
@@ -43,96 +46,99 @@ class Transducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = (piece, i)
+        self.merges = pieces.kind == "bpe"
+        self.start = ("", 0.0, None, ()), []
+        self.start[1].append((self.root, self.start[0], {}))
         self.byte_weight = BYTE_PENALTY - min(pieces.scores.values(), default=0.0)
         self.memo = Memo(MEMO)
         self.following = vocabulary.Followers(pieces)
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids along the shortest path through the lattice of one pre-token."""
-        return self._by_neighbours(text) if self.pieces.kind == "bpe" else self._by_score(text)
-
-    def _by_neighbours(self, text: str) -> list[int]:
-        """Weights 0 and infinity.  A prefix has one consistent segmentation at most, so one
-        state of finite weight is left at each position: its last piece."""
-        n, root, following = len(text), self.root, self.following
-        last: list = [None] * (n + 1)
-        back, put = [0] * (n + 1), [()] * (n + 1)
-        last[0] = ""
-        for i in range(n):
-            previous = last[i]
-            if previous is None:
+    def _step(self, at: tuple, c: str) -> tuple:
+        """One more input character: from (state, open) to the next (state, open).
+
+        A state is the shortest path to a position: last piece, weight, state before, ids put
+        out; None where no path ends.  `open` holds, for each state from which a piece is
+        still under way, the place in the piece trie, that state and its known followers.
+        In merge models a prefix has one consistent segmentation at most, so one state of
+        finite weight is left at each position; in unigram models weights do not depend on
+        the last piece, so the states of a position fall together."""
+        merges, following, scores = self.merges, self.following, self.pieces.scores
+        under_way, state, single = [], None, False
+        for place, start, known in at[1]:
+            place = place.get(c)
+            if place is None:
                 continue
-            known = following.of(previous)
-            node, j = root, i
-            single = False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                final = node.get("")
-                if final is None:
-                    continue
-                if j == i + 1:
-                    single = True
-                if last[j] is not None:
-                    continue
-                piece, k = final
-                if previous:
-                    ok = known.get(piece)
-                    if ok is None:
-                        ok = following.ask(known, previous, piece)
-                    if not ok:
-                        continue
-                last[j], back[j], put[j] = piece, i, (k,)
-            if not single and last[i + 1] is None:
-                last[i + 1], back[i + 1] = "", i
-                put[i + 1] = tuple(self.pieces.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass"))
-        return self._backward(back, put, n)
-
-    def _by_score(self, text: str) -> list[int]:
-        """Weights are negative scores; they do not depend on the last piece, so the states
-        of a position fall together.  Ties: the path found first."""
-        n, root, scores = len(text), self.root, self.pieces.scores
-        weight = [0.0] + [float("inf")] * n
-        back, put = [0] * (n + 1), [()] * (n + 1)
-        for i in range(n):
-            node, j = root, i
-            single = False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                final = node.get("")
-                if final is None:
-                    continue
-                single = single or j == i + 1
-                w = weight[i] - scores[final[0]]
-                if w < weight[j]:
-                    weight[j], back[j], put[j] = w, i, (final[1],)
-            if not single:
-                ids = tuple(self.pieces.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                w = weight[i] + self.byte_weight * len(ids)
-                if w < weight[i + 1]:
-                    weight[i + 1], back[i + 1], put[i + 1] = w, i, ids
-        return self._backward(back, put, n)
-
-    @staticmethod
-    def _backward(back: list[int], put: list[tuple], at: int) -> list[int]:
-        out: list[tuple] = []
-        while at > 0:
-            out.append(put[at])
-            at = back[at]
-        return [k for ids in reversed(out) for k in ids]
-
-    def encode(self, text: str) -> np.ndarray:
-        memo, young, found = self.memo, self.memo.young, []
-        for token in self.cut.findall(vocabulary.normalise(text, self.pieces)):
-            ids = young.get(token)
-            if ids is None:
-                ids = memo.get(token)
-                if ids is None:
-                    ids = np.array(self.shortest(token), dtype=np.int32).tobytes()
-                    if len(token) <= 64:
-                        memo.put(token, ids)
-                young = memo.young
-            found.append(ids)
-        return np.frombuffer(b"".join(found), dtype=np.int32)
+            under_way.append((place, start, known))
+            final = place.get("")
+            if final is None:
+                continue
+            piece, k = final
+            if len(piece) == 1:
+                single = True
+            if merges:
+                if state is None:
+                    last = start[0]
+                    if last:
+                        ok = known.get(piece)
+                        if ok is None:
+                            ok = following.ask(known, last, piece)
+                        if not ok:
+                            continue
+                    state = (piece, 0.0, start, (k,))
+            else:
+                w = start[1] - scores[piece]
+                if state is None or w < state[1]:
+                    state = (piece, w, start, (k,))
+        if not single and at[0] is not None and (state is None or not merges):
+            ids = tuple(self.pieces.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
+            w = at[0][1] + self.byte_weight * len(ids)
+            if state is None or w < state[1]:
+                state = ("", w, at[0], ids)
+        if state is not None:
+            under_way.append((self.root, state, following.of(state[0]) if merges and state[0] else {}))
+        return state, under_way
+
+    def shortest(self, tokens) -> dict[str, bytes]:
+        """Ids (as int32 bytes) along the shortest path of each pre-token.  The pre-tokens are
+        composed with the machines as one prefix tree, visited depth first: what they share
+        is computed once."""
+        path, before, step, out = [self.start], "", self._step, {}
+        for token in sorted(tokens):
+            shared = 0
+            for a, b in zip(before, token, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            at = path[-1]
+            for c in token[shared:]:
+                at = step(at, c)
+                path.append(at)
+            before, state, put = token, at[0], []
+            while state[2] is not None:
+                put.append(state[3])
+                state = state[2]
+            put.reverse()
+            out[token] = array("i", [k for ids in put for k in ids]).tobytes()
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        cuts = [None if t is None else self.cut.findall(vocabulary.normalise(t, self.pieces)) for t in texts]
+        asked = set()
+        for tokens in cuts:
+            if tokens:
+                asked.update(tokens)
+        memo, known = self.memo, {}
+        for token in asked:
+            ids = memo.get(token)
+            if ids is not None:
+                known[token] = ids
+        new = self.shortest(asked.difference(known))
+        for token, ids in new.items():
+            if len(token) <= KEEP_CHARS:
+                memo.put(token, ids)
+        known |= new
+        return [None if tokens is None else np.frombuffer(b"".join(map(known.__getitem__, tokens)), dtype=np.int32) for tokens in cuts]
 
     def decoder(self) -> list[bytes]:
         """What each id puts out, as bytes; the inverse of the piece and byte machines."""
@@ -163,14 +169,14 @@ def encode_decode(docs: DataFrame, path: str = vocabulary.DEFAULT_MODEL, text: s
         for batch in batches:
             for part in slices(batch, text):
                 rows, sizes, digests, same = [], [], [], []
-                for t in part.column(text).to_pylist():
-                    if t is None:
+                texts = part.column(text).to_pylist()
+                for t, ids in zip(texts, machine.encode(texts), strict=True):
+                    if ids is None:
                         rows.append(np.zeros(0, dtype=np.int32))
                         sizes.append(None)
                         digests.append(None)
                         same.append(None)
                         continue
-                    ids = machine.encode(t)
                     back = machine.decode(ids, table)
                     rows.append(ids)
                     sizes.append(len(ids))

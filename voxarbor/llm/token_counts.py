@@ -75,9 +75,11 @@ class CountTrie:
                 score += scores[piece]
                 if found is None or (score, -count - 1) > (found[0], -found[1]):
                     found = (score, count + 1, piece)
-        if found is None and not single and parent[1] >= 0:
+        if not single and parent[1] >= 0 and (found is None or not merges):
             n = len(c.encode("utf-8", "surrogatepass"))
-            found = (parent[0] + n * self.byte_weight, parent[1] + n, "")
+            score = parent[0] + n * self.byte_weight
+            if found is None or score > found[0]:
+                found = (score, parent[1] + n, "")
         if found is None:
             return 0.0, -1, "", under_way  # no segmentation ends here
         under_way.append((self.starts, *found, following.of(found[2]) if merges and found[2] else {}))
