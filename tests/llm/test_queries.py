@@ -291,3 +291,29 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
     assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+
+
+def test_unigram_models_take_the_shortest_path():
+    from voxarbor.llm.sentencepiece_fst import BYTE_PENALTY, Transducer
+    from voxarbor.llm.token_counts import CountTrie
+    from voxarbor.llm.vocabulary import Pieces
+
+    rng = random.Random(3)
+    for _ in range(200):
+        names = {"".join(rng.choice("ab▁") if i == 0 else rng.choice("ab") for i in range(rng.randint(1, 3))) for _ in range(6)}
+        ids = {p: i + 300 for i, p in enumerate(sorted(names))}
+        cost = {p: rng.uniform(0.5, 5) for p in ids}
+        model = Pieces("unigram", ids, {p: -w for p, w in cost.items()}, list(range(256)), 0, True, [""] * 400, 3)
+        weight = {i: cost[p] for p, i in ids.items()} | {b: BYTE_PENALTY + max(cost.values()) for b in range(256)}
+        text = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 7)))
+        line = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [math.inf] * len(line)
+        for i in range(len(line)):
+            for j in range(i + 1, len(line) + 1):
+                if line[i:j] in ids:
+                    best[j] = min(best[j], best[i] + cost[line[i:j]])
+            if line[i] not in ids:
+                best[i + 1] = min(best[i + 1], best[i] + weight[0] * len(line[i].encode()))
+        got = Transducer(model).encode([text])[0]
+        assert abs(sum(weight[k] for k in got.tolist()) - best[-1]) < 1e-9
+        assert CountTrie(model).counts([text])[0] == len(got)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxarbor.functions.storage import materialise, shared_dir  # noqa: F401
+
 #: Rows handed to a Python worker at once; long texts make bigger batches costly.
 ARROW_ROWS = "500"
 
@@ -26,29 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the session names none (tests on one machine), one below /tmp is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if root is None:
-        root = "file:///tmp/checkpoints/voxarbor"
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/voxarbor-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there,
-    so a lost executor costs a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    at = at or f"{shared_dir(spark)}/t"
-    df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """Slices of a batch whose texts in `column` hold about `most` bytes (a longer
     single text makes a slice of its own)."""

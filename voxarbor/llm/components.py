@@ -1,42 +1,19 @@
-"""Connected components of an edge list, by alternating large-star and small-star steps.
-
-Each step is a grouped minimum and a join; results go to the shared folder after every
-round, so lineage stays short.  A node with very many edges costs no more than its rows:
-minima are combined on the map side and the join's probe side can be split."""
+"""Connected components of the nodes that edges name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
+from voxarbor.operators import graph
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    if small:
-        around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    else:
-        around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = around.join(low, "u")
-    if small:
-        out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = out.unionByName(low.select("u", F.col("m").alias("v")))
-    else:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+from .common import materialise
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node with an edge to another; root is the smallest node
     reachable.  Null ends and loops are ignored; an empty list gives an empty result."""
     pairs = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
-    now = materialise(pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-    state = None
-    while True:
-        now = materialise(_star(_star(now, small=False), small=True))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
+    pairs = materialise(pairs.select(F.col(u).alias("src"), F.col(v).alias("dst")))
+    nodes = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    return graph.components(nodes, pairs).select(F.col("id").alias("node"), F.col("comp").alias("root"))
