@@ -143,7 +143,7 @@ def marker_lines(spark, sf):
     return exports.marker_lines(fx.seeds(spark, sf).withColumn("volume", F.col("seed_id") + 5))
 
 
-@register("apo_to_seeds", f"WITH {SEEDS} SELECT seed_id AS n, round(x * 0.4, 6) AS x, round(y * 0.4, 6) AS y, round(z * 0.4, 6) AS z, CAST(seed_id * 7 + 1 AS DOUBLE) AS volume, round(cbrt(3.0 * (seed_id * 7 + 1) / (4 * pi())), 6) AS radius FROM s")
+@register("apo_to_seeds", f"WITH {SEEDS} SELECT seed_id AS n, CAST(round(x * 0.4, 6) AS DOUBLE) AS x, CAST(round(y * 0.4, 6) AS DOUBLE) AS y, CAST(round(z * 0.4, 6) AS DOUBLE) AS z, CAST(seed_id * 7 + 1 AS DOUBLE) AS volume, round(cbrt(3.0 * (seed_id * 7 + 1) / (4 * pi())), 6) AS radius FROM s")
 def apo_to_seeds(spark, sf):
     apo = fx.seeds(spark, sf).select(F.col("seed_id").alias("n"), *XYZ, (F.col("seed_id") * 7 + 1).alias("volsize"))
     s = exports.apo_to_seeds(apo, 0.4)
