@@ -41,7 +41,7 @@ COARSE = 1 << 16
 #: Generator of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: In the similarity stage, runs up to this size give all their pairs.
-PAIR_RUN = 32
+PAIR_RUN = 8
 
 
 def _remainder(v: int) -> int:
@@ -166,14 +166,20 @@ def fingerprints(docs: DataFrame, k: int, prints: int = 1, text: str = "text", k
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _forest(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links among one run."""
-    left, out = np.arange(len(prints)), []
+def _close(p: np.ndarray, q: np.ndarray | None, x, y, bits: int) -> np.ndarray:
+    """Whether fingerprints x and y (positions, broadcast) link; q: a second one, if any."""
+    out = np.bitwise_count(p[x] ^ p[y]) <= bits
+    return out if q is None else out & (np.bitwise_count(q[x] ^ q[y]) <= bits + 2)
+
+
+def _forest(p: np.ndarray, q: np.ndarray | None, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of the links among one run, from its first on."""
+    left, out = np.arange(len(p)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[x]) <= bits
+            near = _close(p, q, left, x, bits)
             if near.any():
                 hit = left[near]
                 out.append((np.full(len(hit), x), hit))
@@ -182,50 +188,48 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _run_edges(keys, ids, prints, bits: int, pairs: bool):
-    """Links inside each run of equal keys (arrays sorted by key), as arrays of ids."""
+def _run_edges(keys, ids, p, q, bits: int):
+    """Links inside each run of equal keys (arrays sorted by key), as arrays of ids.  With a
+    second fingerprint, small runs give every pair."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
     size = stop - start
     us, vs = [], []
     two = start[size == 2]
-    two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= bits]
+    two = two[_close(p, q, two, two + 1, bits)]
     us.append(ids[two])
     vs.append(ids[two + 1])
     for a, b in zip(start[size > 2].tolist(), stop[size > 2].tolist(), strict=True):
-        p = prints[a:b]
-        if pairs and b - a <= PAIR_RUN:
-            x, y = np.nonzero(np.triu(np.bitwise_count(p[:, None] ^ p[None]) <= bits, 1))
-            us.append(ids[a + x])
-            vs.append(ids[a + y])
+        own, other = p[a:b], None if q is None else q[a:b]
+        if q is not None and b - a <= PAIR_RUN:
+            x, y = np.triu_indices(b - a, 1)
+            near = _close(own, other, x, y, bits)
+            us.append(ids[a + x[near]])
+            vs.append(ids[a + y[near]])
             continue
-        for x, y in _forest(p, bits):
+        for x, y in _forest(own, other, bits):
             us.append(ids[a + x])
             vs.append(ids[a + y])
-        if pairs:  # with the first of the run besides
-            near = np.flatnonzero(np.bitwise_count(p[1:] ^ p[0]) <= bits) + 1
-            us.append(np.full(len(near), ids[a]))
-            vs.append(ids[a + near])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(nodes: DataFrame, bits: int, key_bits: int | None = None, pairs: bool = False) -> DataFrame:
+def links(nodes: DataFrame, bits: int, key_bits: int | None = None) -> DataFrame:
     """Edges (u, v) among nodes (id long, fp long), distinct fingerprints of which differ in
-    `bits` bits or fewer and share a key for `key_bits` (default: the same).  Complete up to
-    5 bits: with pairs false a spanning forest of the links, with pairs true every pair of
-    a run of up to PAIR_RUN and the forest beyond."""
+    `bits` bits or fewer and share a key for `key_bits` (default: the same): a spanning
+    forest of the links, complete up to 5 bits.  Nodes may carry a second, independent
+    fingerprint fp2; it must then be near too, and runs up to PAIR_RUN give every pair."""
+    columns = ["key", "id", "fp", *(["fp2"] if "fp2" in nodes.columns else [])]
+    schema = ", ".join(f"{c} long" for c in columns)
     key_bits = bits if key_bits is None else key_bits
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            for s in range(0, len(ids), 256):
-                r, k = keys_of(fps[s : s + 256].view(np.uint64), key_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(ids[s : s + 256][r]), pa.array(fps[s : s + 256][r])], names=["key", "id", "fp"])
-
-    keyed = nodes.where(F.col("id").isNotNull()).select("id", "fp").mapInArrow(expand, "key long, id long, fp long")
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns[1:]]
+            for s in range(0, batch.num_rows, 256):
+                r, k = keys_of(cols[1][s : s + 256].view(np.uint64), key_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[s : s + 256][r]) for c in cols)], names=columns)
+
+    keyed = nodes.where(F.col("id").isNotNull()).select(*columns[1:]).mapInArrow(expand, schema)
     # A key with many rows lies in a coarse bucket with many rows: count these first (few
     # counts a task), and keys only where a bucket leaves room for a large one.
     coarse = F.pmod(F.xxhash64("key"), F.lit(COARSE)).alias("_c")
@@ -238,18 +242,19 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None, pairs: bool
     rows = keyed.join(hot, "key", "left").withColumn("mine", mine).withColumn("other", block)
     rows = rows.select(
         F.when(F.col("m").isNull(), F.col("key"))
-        .otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "id", "fp")
+        .otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), *columns[1:])
     ordered = rows.repartition("key").sortWithinPartitions("key", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def emit(cols):
-            u, v = _run_edges(cols[0], cols[1], cols[2].view(np.uint64), bits, pairs)
+            p, q = [c.view(np.uint64) for c in cols[2:]] if len(cols) == 4 else (cols[2].view(np.uint64), None)
+            u, v = _run_edges(cols[0], cols[1], p, q, bits)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             if not len(cols[0]):
                 continue
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -310,9 +315,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     # equal fingerprints need no keys: link them to the smallest id that has them
     edges = None
     for fp, other in (("fp0", "fp1"), ("fp1", "fp0")):
-        nodes = first.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"))
-        same = first.join(nodes.select("fp", F.col("id").alias("v")), first[fp] == F.col("fp")).where("id <> v").select(F.col("id").alias("u"), "v")
-        found = links(nodes, bits, key_bits=5, pairs=True).unionByName(same)
+        # The other fingerprint is independent: chance neighbours hardly ever agree in both.
+        nodes = first.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"), F.min_by(other, "id").alias("fp2"))
+        head = nodes.select("fp", F.col("id").alias("v"), F.col("fp2").alias("b"))
+        near = F.bit_count(F.col(other).bitwiseXOR(F.col("b"))) <= bits + 2
+        same = first.join(head, first[fp] == F.col("fp")).where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v")
+        found = links(nodes, bits, key_bits=5).unionByName(same)
         # A pair is proposed by each key it shares: once is enough.
         found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         # The other fingerprint is independent: chance neighbours hardly ever agree in both.
