@@ -323,10 +323,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
         found = links(nodes, bits, key_bits=5).unionByName(same)
         # A pair is proposed by each key it shares: once is enough.
         found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        # The other fingerprint is independent: chance neighbours hardly ever agree in both.
-        a = first.select(F.col("id").alias("u"), F.col(other).alias("a"))
-        b = first.select(F.col("id").alias("v"), F.col(other).alias("b"))
-        found = found.join(a, "u").join(b, "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits + 2).select("u", "v")
         edges = found if edges is None else edges.unionByName(found)
     edges = materialise(edges.distinct())
     wanted = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
@@ -342,7 +338,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     texts = maybe_among(docs.select("doc_id", "text"), wanted, "doc_id", "id").where("_maybe").drop("_maybe")
     texts = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     sets_of = materialise(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
-    both = edges.join(sets_of.select(F.col("id").alias("u"), F.col("s").alias("a")), "u")
-    both = both.join(sets_of.select(F.col("id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
-    found = components(_jaccard(both, similarity))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets_of.select(F.col("id").alias("u"), F.col("s").alias("a")), "u")
+        both = both.join(sets_of.select(F.col("id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
+        return materialise(_jaccard(both, similarity))
+
+    # First each text with its smallest neighbour; pairs that this has put into one group
+    # need no shingle sets any more.
+    links_1 = verified(edges.groupBy("u").agg(F.min("v").alias("v")))
+    group = components(links_1)
+    rest = edges.join(group.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
+    rest = rest.join(group.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    rest = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    found = components(links_1.unionByName(verified(rest)))
     return copies.join(found, copies.id == found.node, "left").select("doc_id", F.coalesce("root", "id").alias("group"))
