@@ -40,8 +40,11 @@ GROUP_ROWS = 20_000
 COARSE = 1 << 16
 #: Generator of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: In the similarity stage, runs up to this size give all their pairs.
+#: In the similarity stage, runs up to this size give all their pairs at once; larger ones
+#: a forest first, then every pair that verified links have left in different parts.
 PAIR_RUN = 8
+#: Pairs of one run held before they are handed on.
+PAIRS_HELD = 1 << 16
 
 
 def _remainder(v: int) -> int:
@@ -213,12 +216,39 @@ def _run_edges(keys, ids, p, q, bits: int):
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(nodes: DataFrame, bits: int, key_bits: int | None = None) -> DataFrame:
+def _part_pairs(keys, ids, p, q, part, size, bits: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every near pair of different parts inside each run of equal keys (arrays sorted by
+    key), as arrays of ids, some PAIRS_HELD at a time; without those whose sizes alone keep
+    their Jaccard similarity below `ratio`."""
+    start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    stop = np.concatenate([start[1:], [len(keys)]])
+    mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
+    us, vs, held = [], [], 0
+    for a, b in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
+        for x in range(a, b - 1):
+            y = np.arange(x + 1, b)
+            y = y[(part[y] != part[x]) & (np.minimum(size[y], size[x]) >= ratio * np.maximum(size[y], size[x]))]
+            y = y[_close(p, q, y, x, bits)]
+            if not len(y):
+                continue
+            us.append(np.full(len(y), ids[x]))
+            vs.append(ids[y])
+            held += len(y)
+            if held >= PAIRS_HELD:
+                yield np.concatenate(us), np.concatenate(vs)
+                us, vs, held = [], [], 0
+    if held:
+        yield np.concatenate(us), np.concatenate(vs)
+
+
+def links(nodes: DataFrame, bits: int, key_bits: int | None = None, ratio: float = 0.0) -> DataFrame:
     """Edges (u, v) among nodes (id long, fp long), distinct fingerprints of which differ in
     `bits` bits or fewer and share a key for `key_bits` (default: the same): a spanning
     forest of the links, complete up to 5 bits.  Nodes may carry a second, independent
-    fingerprint fp2; it must then be near too, and runs up to PAIR_RUN give every pair."""
-    columns = ["key", "id", "fp", *(["fp2"] if "fp2" in nodes.columns else [])]
+    fingerprint fp2; it must then be near too, and runs up to PAIR_RUN give every pair.
+    With fp2, nodes may also carry part and size (longs): then every pair of different
+    parts is given, whatever the run, unless its sizes differ by more than `ratio` allows."""
+    columns = ["key", "id", *(c for c in ("fp", "fp2", "part", "size") if c in nodes.columns)]
     schema = ", ".join(f"{c} long" for c in columns)
     key_bits = bits if key_bits is None else key_bits
 
@@ -249,9 +279,13 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None) -> DataFrame
         held: list[list[np.ndarray]] = []
 
         def emit(cols):
-            p, q = [c.view(np.uint64) for c in cols[2:]] if len(cols) == 4 else (cols[2].view(np.uint64), None)
-            u, v = _run_edges(cols[0], cols[1], p, q, bits)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            p, q = [c.view(np.uint64) for c in cols[2:4]] if len(cols) > 3 else (cols[2].view(np.uint64), None)
+            if len(cols) > 4:
+                found = _part_pairs(cols[0], cols[1], p, q, cols[4], cols[5], bits, ratio)
+            else:
+                found = [_run_edges(cols[0], cols[1], p, q, bits)]
+            for u, v in found:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -264,10 +298,10 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None) -> DataFrame
             held.append([c[:last] for c in cols])
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
             if len(whole[0]):
-                yield emit(whole)
+                yield from emit(whole)
             held = [[c[last:] for c in cols]]
         if held:
-            yield emit([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return ordered.mapInArrow(compare, "u long, v long")
 
@@ -312,19 +346,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     first = prints.join(copies.select("id").distinct(), prints.doc_id == F.col("id"), "left_semi")
     first = first.where("fp0 <> 0").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
     first = materialise(first)
-    # equal fingerprints need no keys: link them to the smallest id that has them
-    edges = None
-    for fp, other in (("fp0", "fp1"), ("fp1", "fp0")):
-        # The other fingerprint is independent: chance neighbours hardly ever agree in both.
-        nodes = first.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"), F.min_by(other, "id").alias("fp2"))
-        head = nodes.select("fp", F.col("id").alias("v"), F.col("fp2").alias("b"))
-        near = F.bit_count(F.col(other).bitwiseXOR(F.col("b"))) <= bits + 2
-        same = first.join(head, first[fp] == F.col("fp")).where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v")
-        found = links(nodes, bits, key_bits=5).unionByName(same)
-        # A pair is proposed by each key it shares: once is enough.
-        found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = found if edges is None else edges.unionByName(found)
-    edges = materialise(edges.distinct())
+
+    def near(nodes: DataFrame, *more: str) -> DataFrame:
+        edges = None
+        for fp, other in (("fp0", "fp1"), ("fp1", "fp0")):
+            # The other fingerprint is independent: chance neighbours hardly ever agree in both.
+            found = links(nodes.select("id", F.col(fp).alias("fp"), F.col(other).alias("fp2"), *more), bits, key_bits=5, ratio=similarity)
+            # A pair is proposed by each key it shares: once is enough.
+            found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            edges = found if edges is None else edges.unionByName(found)
+        return edges.distinct()
+
+    edges = materialise(near(first))
     wanted = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,12 +377,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
         both = both.join(sets_of.select(F.col("id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
         return materialise(_jaccard(both, similarity))
 
+    def apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+        rest = pairs.join(group.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
+        rest = rest.join(group.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+        return rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
     # First each text with its smallest neighbour; pairs that this has put into one group
     # need no shingle sets any more.
-    links_1 = verified(edges.groupBy("u").agg(F.min("v").alias("v")))
-    group = components(links_1)
-    rest = edges.join(group.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
-    rest = rest.join(group.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    rest = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    found = components(links_1.unionByName(verified(rest)))
+    linked = verified(edges.groupBy("u").agg(F.min("v").alias("v")))
+    linked = materialise(linked.unionByName(verified(apart(edges, components(linked)))))
+    group = components(linked)
+    # A forest is enough only where all its edges hold.  Texts that are joined by proposed
+    # pairs but not by verified ones meet again, each with every near text of another part.
+    proposed = components(edges).join(group.select("node", F.col("root").alias("part")), "node", "left")
+    proposed = materialise(proposed.select("node", F.col("root").alias("tree"), F.coalesce("part", "node").alias("part")))
+    open_ = proposed.groupBy("tree").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("tree")
+    again = proposed.join(open_, "tree", "left_semi").select(F.col("node").alias("id"), "part")
+    again = again.join(first, "id").join(sets_of.select("id", F.expr("octet_length(s) DIV 4").alias("size")), "id")
+    missed = materialise(near(materialise(again), "part", "size").join(edges, ["u", "v"], "left_anti"))
+    more = verified(missed.join(group.select(F.col("node").alias("v"), "root"), "v", "left").groupBy("u", F.coalesce("root", "v")).agg(F.min("v").alias("v")).select("u", "v"))
+    linked = materialise(linked.unionByName(more))
+    found = components(linked.unionByName(verified(apart(missed, components(linked)))))
     return copies.join(found, copies.id == found.node, "left").select("doc_id", F.coalesce("root", "id").alias("group"))
