@@ -4,9 +4,8 @@ A page is cut into text blocks (lines).  Blocks inside navigation, header, foote
 form, advert, notice or comment elements go.  The rest is compared with the nearest page
 of the same host: pages are ordered by URL path within their host, the neighbour with the
 longer common path prefix is taken, the two pages' lines are aligned by longest common
-subsequence, and shared lines are template text and deleted.  Lines inside the page's own
-article element are its content even where a copy of the page shares them, and a page all
-of whose lines are shared is a copy, not a template: both keep them.
+subsequence, and shared lines are template text and deleted, inside an article element too.
+A page all of whose lines are shared is a copy, not a template, and keeps them.
 
 Cases: null html or html without text gives the empty text; broken nesting is read as
 written; repeated pages keep their text; a host with one page has no neighbour.
@@ -152,7 +151,7 @@ def extract(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool
     if other is not None and kept:
         shared = common_lines([t for t, _, _ in own], [t for t, _, _ in other])
         at = [i for i, x in enumerate(own) if not x[2] and (x[1] or not any(y[1] and not y[2] for y in own))]
-        gone = {i for i in at if i in shared and not own[i][1]}
+        gone = {i for i in at if i in shared}
         if len(gone) < len(at):
             kept = [own[i] for i in at if i not in gone]
     return "\n\n".join(x[0] for x in kept)
