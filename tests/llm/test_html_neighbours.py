@@ -22,3 +22,23 @@ def page(lines, outer="{}"):
 def test_shared_lines_inside_article_go(spark):
     rows = [(i, f"http://a.org/p/{i}", page([f"own text number {i} of this page", "Share this"], "<article>{}</article>")) for i in range(4)]
     assert texts(spark.createDataFrame(rows, SCHEMA)) == {i: f"own text number {i} of this page" for i in range(4)}
+
+
+def test_parts_do_not_matter(spark):
+    rng = random.Random(3)
+    rows = []
+    for host in range(12):
+        for n in range(rng.choice([1, 2, 3, 30])):
+            own = [f"words {rng.randrange(10**9)} of {host}" for _ in range(3)]
+            for _ in range(rng.choice([1, 1, 2, 9])):
+                rows.append((len(rows), f"http://h{host}.org/{n % 4}/{n}", page([f"Site {host}", *own, "Bottom"])))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = []
+        for n in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(texts(spark.createDataFrame(rows, SCHEMA)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] == got[2]

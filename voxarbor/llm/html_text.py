@@ -1,11 +1,17 @@
 """Main text of web pages, with nearest-URL page differencing.
 
 A page is cut into text blocks (lines).  Blocks inside navigation, header, footer, aside,
-form, advert, notice or comment elements go.  The rest is compared with the nearest page
-of the same host: pages are ordered by URL path within their host, the neighbour with the
-longer common path prefix is taken, the two pages' lines are aligned by longest common
-subsequence, and shared lines are template text and deleted, inside an article element too.
-A page all of whose lines are shared is a copy, not a template, and keeps them.
+form, advert, notice or comment elements go; of a page with an article or main element only
+what lies in it is looked at.  The rest is compared with the nearest page of the same host:
+pages are ordered by URL path within their host, the neighbour with the longer common path
+prefix is taken, the two pages' lines are aligned by longest common subsequence, and shared
+lines are template text and deleted.
+
+A page all of whose lines are shared keeps them.
+
+Neighbours are chosen on digests of lines.  These are sorted in parts; what the pages at the
+edges of a part have beyond it is worked out from the edges of all parts, so the result does
+not depend on where a part ends.
 
 Cases: null html or html without text gives the empty text; broken nesting is read as
 written; repeated pages keep their text; a host with one page has no neighbour.
@@ -13,16 +19,21 @@ written; repeated pages keep their text; a host with one page has no neighbour.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pieces
+from .common import materialise, maybe_among, pieces
 
 #: Elements whose text never belongs to an article.
 DROPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea input iframe svg canvas object menu dialog".split())
@@ -144,17 +155,10 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def extract(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    kept = [(t, inside) for t, inside, bad in own if not bad]
-    if any(inside for _, inside in kept):
-        kept = [x for x in kept if x[1]] or kept
-    if other is not None and kept:
-        shared = common_lines([t for t, _, _ in own], [t for t, _, _ in other])
-        at = [i for i, x in enumerate(own) if not x[2] and (x[1] or not any(y[1] and not y[2] for y in own))]
-        gone = {i for i in at if i in shared}
-        if len(gone) < len(at):
-            kept = [own[i] for i in at if i not in gone]
-    return "\n\n".join(x[0] for x in kept)
+def candidates(own: list[tuple[str, bool, bool]]) -> list[int]:
+    """Positions of the lines that may be main text."""
+    kept = [i for i, x in enumerate(own) if not x[2]]
+    return [i for i in kept if own[i][1]] or kept
 
 
 def _prefix(a: str, b: str) -> int:
@@ -166,42 +170,155 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+class Page(NamedTuple):
+    host: str
+    path: str
+    lines: np.ndarray  # hash of each line
+    sizes: np.ndarray  # its characters; 0 if it is no candidate
+
+
+def page_of(host: str, path: str, lines: bytes, sizes: bytes) -> Page:
+    return Page(host, path, np.frombuffer(lines, dtype=np.int64), np.frombuffer(sizes, dtype=np.int32))
+
+
+#: The neighbour of a page of which no non-copy lies on that side within its part.
+OPEN = False
+
+
+def step(state, page: Page):
+    """(page, its neighbour) from the (page, neighbour) passed before; OPEN: not known here."""
+    if state is None:
+        return page, OPEN
+    last, beyond = state
+    if last.host != page.host:
+        return page, None
+    return page, last
+
+
+def edge_states(edges: list[tuple[Page, Page, Page | None | bool]]) -> list:
+    """State in front of each part, from every part's first page, last page and last
+    neighbour, in walking order."""
+    out, state = [], None
+    for first, last, beyond in edges:
+        out.append(state)
+        if beyond is OPEN:
+            beyond = step(state, first)[1]
+        state = last, (None if beyond is OPEN else beyond)
+    return out
+
+
+def deleted(page: Page, left: Page | None, right: Page | None) -> list[int]:
+    """Positions of the page's template lines."""
+    near = [x for x in (left, right) if x is not None]
+    at = np.flatnonzero(page.sizes > 0).tolist()
+    if not near or not at:
+        return []
+    other = max(near, key=lambda x: _prefix(x.path, page.path))
+    shared = common_lines(page.lines.tolist(), other.lines.tolist())
+    gone = [i for i in at if i in shared]
+    return gone if len(gone) < len(at) else []
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[Page]]]:
+    """(part, (page_id, key) of its rows, its pages) of rows sorted by part."""
+    part, keys, held = None, [], []
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("_part", "page_id", "_key", "_host", "_path", "_lines", "_sizes")]
+        for n, i, k, *page in zip(*cols, strict=True):
+            if n != part and held:
+                yield part, keys, held
+                keys, held = [], []
+            part = n
+            keys.append((i, k))
+            held.append(page_of(*page))
+    if held:
+        yield part, keys, held
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars.  Pages are dealt out in (host, path) order, so a host of
-    any size spreads over tasks; a page at the edge of a task has the neighbour it has there."""
+    any size spreads over tasks."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("_host"), path.alias("_path"), F.col("html"))
-    order = ["_host", "_path", "page_id", "url"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # rows of one id and key are equal, and so are their texts
+    rows = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("_key"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "html"):
+                lines, sizes = [], []
+                for html in part.column("html").to_pylist():
+                    own = blocks(html)
+                    size = np.zeros(len(own), dtype=np.int32)
+                    for i in candidates(own):
+                        size[i] = len(own[i][0])
+                    lines.append(b"".join(xxhash.xxh64_digest(t.encode("utf-8", "surrogatepass")) for t, _, _ in own))
+                    sizes.append(size.tobytes())
+                cols = [part.column(c) for c in ("page_id", "url", "_key", "_host", "_path")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.binary()), pa.array(sizes, pa.binary())], names=names)
+
+    names = ["page_id", "url", "_key", "_host", "_path", "_lines", "_sizes"]
+    order = ["_host", "_path", "page_id", "url", "_key"]
+    lines = rows.select("page_id", "url", "_key", host.alias("_host"), path.alias("_path"), "html").mapInArrow(
+        digest, f"page_id {kind}, url string, _key long, _host string, _path string, _lines binary, _sizes binary")
+    lines = materialise(lines)
+    lines = materialise(lines.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    lines = lines.repartition("_part").sortWithinPartitions("_part", *order).drop("url")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, held in _parts(batches):
+            out = []
+            for forward, walk in ((True, held), (False, held[::-1])):
+                state = None
+                for page in walk:
+                    state = step(state, page)
+                out.append((part, forward, pickle.dumps((walk[0], walk[-1], state[1]))))
+            a, b, c = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.bool_()), pa.array(c, pa.binary())], names=["part", "forward", "edge"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = held = None  # (page_id, url, host, path, blocks)
+    found = lines.mapInArrow(edges, "part int, forward boolean, edge binary").collect()
+    before: dict[tuple[int, bool], object] = {}
+    for forward in (True, False):
+        some = sorted((r for r in found if r.forward is forward), key=lambda r: r.part, reverse=not forward)
+        states = edge_states([pickle.loads(r.edge) for r in some])
+        before.update({(r.part, forward): s for r, s in zip(some, states, strict=True)})
+    shared = pages.sparkSession.sparkContext.broadcast(before)
 
-        def result(page, left, right):
-            near = [x for x in (left, right) if x is not None and x[2] == page[2]]
-            near.sort(key=lambda x: -_prefix(x[3], page[3]))
-            return page[0], page[1], extract(page[4], near[0][4] if near else None)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, held in _parts(batches):
+            beside = []
+            for forward, walk in ((True, held), (False, held[::-1])):
+                state, some = shared.value[part, forward], []
+                for page in walk:
+                    state = step(state, page)
+                    some.append(None if state[1] is OPEN else state[1])
+                    state = state[0], some[-1]
+                beside.append(some if forward else some[::-1])
+            gone = [deleted(*x) for x in zip(held, *beside, strict=True)]
+            out = [(i, k, g) for (i, k), g in zip(keys, gone, strict=True) if g]
+            if out:
+                a, b, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, id_type), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int32()))], names=["_id", "_k", "_gone"])
 
-        def batch_of(out):
-            ids, urls, texts = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                names=["page_id", "url", "text", "n_chars"])
+    id_type = to_arrow_type(pages.schema["page_id"].dataType)
+    gone = materialise(lines.mapInArrow(choose, f"_id {kind}, _k long, _gone array<int>").dropDuplicates(["_id", "_k"]))
 
-        kind = pa.int64()
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "html"):
-                kind, out = part.column("page_id").type, []
-                for p, u, h, q, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "_host", "_path", "html")), strict=True):
-                    page = (p, u, h, q, blocks(html))
-                    if held is not None:
-                        out.append(result(held, before, page))
-                    before, held = held, page
-                if out:
-                    yield batch_of(out)
-        if held is not None:
-            yield batch_of([result(held, before, None)])
+                texts = []
+                for html, drop in zip(part.column("html").to_pylist(), part.column("_gone").to_pylist(), strict=True):
+                    own, drop = blocks(html), set(drop or ())
+                    texts.append("\n\n".join(own[i][0] for i in candidates(own) if i not in drop))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"])
 
+    # pages that lose no line need not cross the network
+    marked = maybe_among(rows, gone, "_key", "_k")
+    some = marked.where("_maybe").join(gone, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    none = marked.where("NOT _maybe").withColumn("_gone", F.lit(None).cast("array<int>"))
     schema = pages.select("page_id").schema.add("url", "string").add("text", "string").add("n_chars", "long")
-    return rows.mapInArrow(run, schema)
+    return some.select("page_id", "url", "html", "_gone").unionByName(none.select("page_id", "url", "html", "_gone")).mapInArrow(text, schema)
