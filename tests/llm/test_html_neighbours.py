@@ -24,6 +24,14 @@ def test_shared_lines_inside_article_go(spark):
     assert texts(spark.createDataFrame(rows, SCHEMA)) == {i: f"own text number {i} of this page" for i in range(4)}
 
 
+def test_copies_are_no_neighbours(spark):
+    body = [f"line {k} of one long article text" for k in range(9)]
+    rows = [(i, f"http://a.org/a/{i}", page(["Site", *body, f"v{i}", "Bottom"])) for i in range(5)]  # near copies
+    rows += [(9, "http://a.org/a/0", page(["Site", *body, "v0", "Bottom"])), (10, "http://a.org/z/1", page(["Site", "quite another page here", "Bottom"]))]
+    got = texts(spark.createDataFrame(rows, SCHEMA))
+    assert got == {**{i: "\n\n".join([*body, f"v{i}"]) for i in range(5)}, 9: "\n\n".join([*body, "v0"]), 10: "quite another page here"}
+
+
 def test_parts_do_not_matter(spark):
     rng = random.Random(3)
     rows = []
@@ -42,3 +50,4 @@ def test_parts_do_not_matter(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got[0] == got[1] == got[2]
+    assert sum("Site" in t for t in got[0].values()) < len(rows) / 4

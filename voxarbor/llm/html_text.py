@@ -7,7 +7,9 @@ pages are ordered by URL path within their host, the neighbour with the longer c
 prefix is taken, the two pages' lines are aligned by longest common subsequence, and shared
 lines are template text and deleted.
 
-A page all of whose lines are shared keeps them.
+A copy shares its content, so it is no neighbour: the neighbour on a side is the next page
+there or, where that is a copy or near copy (NEAR_COPY), the neighbour which that page has on
+the same side.  A page all of whose lines are shared keeps them.
 
 Neighbours are chosen on digests of lines.  These are sorted in parts; what the pages at the
 edges of a part have beyond it is worked out from the edges of all parts, so the result does
@@ -35,6 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise, maybe_among, pieces
 
+#: Pages that share this much of the shorter one's text, in characters of whole lines, are copies.
+NEAR_COPY = 0.8
 #: Elements whose text never belongs to an article.
 DROPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea input iframe svg canvas object menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,6 +185,15 @@ def page_of(host: str, path: str, lines: bytes, sizes: bytes) -> Page:
     return Page(host, path, np.frombuffer(lines, dtype=np.int64), np.frombuffer(sizes, dtype=np.int32))
 
 
+def near_copy(a: Page, b: Page) -> bool:
+    x, y = a.sizes > 0, b.sizes > 0
+    least = min(int(a.sizes.sum()), int(b.sizes.sum()))
+    if not least:
+        return True
+    one, other = (a, b.lines[y]) if int(a.sizes.sum()) == least else (b, a.lines[x])
+    return int(one.sizes[np.isin(one.lines, other)].sum()) >= NEAR_COPY * least
+
+
 #: The neighbour of a page of which no non-copy lies on that side within its part.
 OPEN = False
 
@@ -192,7 +205,7 @@ def step(state, page: Page):
     last, beyond = state
     if last.host != page.host:
         return page, None
-    return page, last
+    return page, beyond if near_copy(last, page) else last
 
 
 def edge_states(edges: list[tuple[Page, Page, Page | None | bool]]) -> list:
@@ -209,7 +222,7 @@ def edge_states(edges: list[tuple[Page, Page, Page | None | bool]]) -> list:
 
 def deleted(page: Page, left: Page | None, right: Page | None) -> list[int]:
     """Positions of the page's template lines."""
-    near = [x for x in (left, right) if x is not None]
+    near = [x for x in (left, right) if x is not None and not near_copy(x, page)]
     at = np.flatnonzero(page.sizes > 0).tolist()
     if not near or not at:
         return []
