@@ -4,7 +4,7 @@ Parquet; all but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxarbor.llm import langid, mixing, sentencepiece_fst, simhash, substring
@@ -50,10 +50,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0, 1 or 2 times)."""
     tune(spark)
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").cast("int").alias("_copies"))
-    copies = copies.where("_copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return docs.join(copies, docs.doc_id.eqNullSafe(F.col("_id"))).select(*(docs[c] for c in docs.columns), times.alias("_k")).drop("_k")
+    # Rows that share an id keep a count each; equal rows are one with the sum of theirs.
+    row = F.xxhash64(*docs.columns)
+    copies = mixing.mix(docs.withColumn("_row", row), carry=["_row"])
+    copies = copies.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.sum("copies").cast("int").alias("_copies"))
+    copies = copies.where("_copies > 0").withColumnRenamed("_row", "_of")
+    rows = docs.withColumn("_row", row).join(copies, docs.doc_id.eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
+    first = F.row_number().over(Window.partitionBy("_id", "_of").orderBy(F.lit(1)))
+    rows = rows.withColumn("_nth", first).where("_nth = 1")
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).drop("_k")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ GROUP_ROWS = 500
 BUCKET_BITS = 10
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: words [^\\x20\\x09-\\x0D]+ of the whole text."""
+def sized(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, source, columns to carry and size: words [^\\x20\\x09-\\x0D]+ of the whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("mixing")
@@ -41,10 +41,11 @@ def sized(docs: DataFrame) -> DataFrame:
                 # bytes.split() cuts at exactly \x20 and \x09-\x0D
                 n = [0 if t is None else len(t.encode("utf-8", "surrogatepass").split()) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+                    [*(part.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "size"])
 
-    schema = docs.select("doc_id", "source").withColumn("size", F.lit(0).cast("long")).schema
-    return docs.select("doc_id", "source", "text").mapInArrow(count, schema)
+    names = ["doc_id", "source", *carry]
+    schema = docs.select(*names).withColumn("size", F.lit(0).cast("long")).schema
+    return docs.select(*names, "text").mapInArrow(count, schema)
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, cap=CAP) -> dict[str | None, float]:
@@ -106,11 +107,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies and taken words.
+def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share=SHARE, cap=CAP, carry=()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies and taken words, and
+    the columns named in `carry`.
 
     The driver holds one size per source; everything by length stays distributed."""
-    base = materialise(sized(docs).withColumns({
+    base = materialise(sized(docs, *carry).withColumns({
         "_r": F.xxhash64("doc_id", F.lit(seed)),
         "_src": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")),
     }))
@@ -141,9 +143,9 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share=SHARE, cap=CAP)
     order = Window.partitionBy("_src", "size").orderBy("_b")
     before = some.groupBy("_src", "size", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_src", "size", "_b").orderBy("_r", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("_src", "size", "_b").orderBy("_r", "doc_id", *carry))
     some = some.withColumn("_rank", rank).join(before, ["_src", "size", "_b"])
     some = some.withColumn("_more", (F.col("_before") + F.col("_rank") <= F.col("take")).cast("long"))
-    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("_more")).alias("copies")]
+    keep = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("_more")).alias("copies"), *carry]
     out = sure.select(*keep).unionByName(some.select(*keep))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
