@@ -14,7 +14,10 @@ from voxarbor.llm.common import materialise, maybe_among, table, tune
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a language; those without text or without a letter go."""
     tune(spark)
-    labelled = langid.identify(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), langid.fit(docs))
+    net = langid.fit(docs)
+    if net is None:  # no labelled row: no language is known, but a letter still is
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    labelled = langid.identify(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), net)
     kept = labelled.where(F.col("lang_pred") != langid.UNDETERMINED).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"lang_pred_": "lang_pred", "score_": "score"})
 
