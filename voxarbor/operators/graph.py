@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.functions.storage import materialise
+from voxarbor.functions.storage import materialise, release
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if seen == state:
             break
         state = seen
-        now = materialise(_star(_star(now, small=False), small=True))
+        before, now = now, materialise(_star(_star(now, small=False), small=True))
+        release(before)
     return nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
