@@ -7,7 +7,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxarbor.functions.storage import materialise, shared_dir  # noqa: F401
+from voxarbor.functions.storage import materialise, release, shared_dir  # noqa: F401
 
 #: Rows handed to a Python worker at once; long texts make bigger batches costly.
 ARROW_ROWS = "500"
@@ -40,26 +40,31 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
         yield batch.slice(start)
 
 
-#: Words of the bitmaps below: 2**17 longs, 1 MB of bits whatever the number of ids.
-BITMAP_WORDS = 1 << 17
+#: Words (longs) of the bitmaps below: 16 bits an id, 1 MB at least and 8 MB at most.
+BITMAP_WORDS = (1 << 17, 1 << 20)
 
 
-def _bit(key: Column) -> tuple[Column, Column]:
+def _bit(key: Column, words: int) -> tuple[Column, Column]:
     h = F.xxhash64(key)
     one = F.expr("shiftleft(1L, 0)")
     bit = F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(BITMAP_WORDS)), bit
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(words)), bit
 
 
 def maybe_among(docs: DataFrame, ids: DataFrame, key: str, id_: str) -> DataFrame:
     """docs with _maybe: false where docs[key] is surely not among ids[id_].
 
     Long texts should not cross the network to meet a few ids.  The ids are folded into a
-    bitmap of fixed size, which is broadcast; only rows that pass it need an exact join.
-    On very many ids it fills up and more rows pass, which changes no result."""
-    word, bit = _bit(F.col(id_))
+    bitmap, which is broadcast; only rows that pass it need an exact join.  Its size follows
+    the number of ids up to a bound; beyond some 10**7 ids more rows pass, which changes no
+    result."""
+    words, most = BITMAP_WORDS
+    n = ids.count()
+    while words < most and words * 4 < n:
+        words *= 2
+    word, bit = _bit(F.col(id_), words)
     bitmap = ids.where(F.col(id_).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    mine, own = _bit(F.col(key).cast(ids.schema[id_].dataType))
+    mine, own = _bit(F.col(key).cast(ids.schema[id_].dataType), words)
     joined = docs.withColumn("_word", mine).join(F.broadcast(bitmap), "_word", "left")
     return joined.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(own) != 0, F.lit(False))).drop("_word", "_bits")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_among, pieces, worker_state
+from .common import materialise, pieces, worker_state
 from .components import components
 
 SEED = 42
@@ -40,11 +40,6 @@ GROUP_ROWS = 20_000
 COARSE = 1 << 16
 #: Generator of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: In the similarity stage, runs up to this size give all their pairs at once; larger ones
-#: a forest first, then every pair that verified links have left in different parts.
-PAIR_RUN = 8
-#: Pairs of one run held before they are handed on.
-PAIRS_HELD = 1 << 16
 
 
 def _remainder(v: int) -> int:
@@ -138,7 +133,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def _remix(h: np.ndarray) -> np.ndarray:
+def remix(h: np.ndarray) -> np.ndarray:
     """A second hash of each shingle, made of the first (splitmix64's finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -160,7 +155,7 @@ def fingerprints(docs: DataFrame, k: int, prints: int = 1, text: str = "text", k
                     h = shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k)
                     row = [fingerprint(h)]
                     for _ in range(1, prints):
-                        h = _remix(h)
+                        h = remix(h)
                         row.append(fingerprint(h))
                     out.append(row)
                 cols = np.array(out, dtype=np.uint64).reshape(-1, prints).view(np.int64)
@@ -169,20 +164,14 @@ def fingerprints(docs: DataFrame, k: int, prints: int = 1, text: str = "text", k
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _close(p: np.ndarray, q: np.ndarray | None, x, y, bits: int) -> np.ndarray:
-    """Whether fingerprints x and y (positions, broadcast) link; q: a second one, if any."""
-    out = np.bitwise_count(p[x] ^ p[y]) <= bits
-    return out if q is None else out & (np.bitwise_count(q[x] ^ q[y]) <= bits + 2)
-
-
-def _forest(p: np.ndarray, q: np.ndarray | None, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(p: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links among one run, from its first on."""
     left, out = np.arange(len(p)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _close(p, q, left, x, bits)
+            near = np.bitwise_count(p[left] ^ p[x]) <= bits
             if near.any():
                 hit = left[near]
                 out.append((np.full(len(hit), x), hit))
@@ -191,72 +180,33 @@ def _forest(p: np.ndarray, q: np.ndarray | None, bits: int) -> list[tuple[np.nda
     return out
 
 
-def _run_edges(keys, ids, p, q, bits: int):
-    """Links inside each run of equal keys (arrays sorted by key), as arrays of ids.  With a
-    second fingerprint, small runs give every pair."""
+def _run_edges(keys, ids, p, bits: int):
+    """A spanning forest of the links inside each run of equal keys (arrays sorted by key),
+    as arrays of ids."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
     size = stop - start
-    us, vs = [], []
     two = start[size == 2]
-    two = two[_close(p, q, two, two + 1, bits)]
-    us.append(ids[two])
-    vs.append(ids[two + 1])
+    two = two[np.bitwise_count(p[two] ^ p[two + 1]) <= bits]
+    us, vs = [ids[two]], [ids[two + 1]]
     for a, b in zip(start[size > 2].tolist(), stop[size > 2].tolist(), strict=True):
-        own, other = p[a:b], None if q is None else q[a:b]
-        if q is not None and b - a <= PAIR_RUN:
-            x, y = np.triu_indices(b - a, 1)
-            near = _close(own, other, x, y, bits)
-            us.append(ids[a + x[near]])
-            vs.append(ids[a + y[near]])
-            continue
-        for x, y in _forest(own, other, bits):
+        for x, y in _forest(p[a:b], bits):
             us.append(ids[a + x])
             vs.append(ids[a + y])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _part_pairs(keys, ids, p, q, part, size, bits: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every near pair of different parts inside each run of equal keys (arrays sorted by
-    key), as arrays of ids, some PAIRS_HELD at a time; without those whose sizes alone keep
-    their Jaccard similarity below `ratio`."""
-    start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    stop = np.concatenate([start[1:], [len(keys)]])
-    mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
-    us, vs, held = [], [], 0
-    for a, b in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
-        for x in range(a, b - 1):
-            y = np.arange(x + 1, b)
-            y = y[(part[y] != part[x]) & (np.minimum(size[y], size[x]) >= ratio * np.maximum(size[y], size[x]))]
-            y = y[_close(p, q, y, x, bits)]
-            if not len(y):
-                continue
-            us.append(np.full(len(y), ids[x]))
-            vs.append(ids[y])
-            held += len(y)
-            if held >= PAIRS_HELD:
-                yield np.concatenate(us), np.concatenate(vs)
-                us, vs, held = [], [], 0
-    if held:
-        yield np.concatenate(us), np.concatenate(vs)
-
-
-def links(nodes: DataFrame, bits: int, key_bits: int | None = None, ratio: float = 0.0) -> DataFrame:
+def links(nodes: DataFrame, bits: int) -> DataFrame:
     """Edges (u, v) among nodes (id long, fp long), distinct fingerprints of which differ in
-    `bits` bits or fewer and share a key for `key_bits` (default: the same): a spanning
-    forest of the links, complete up to 5 bits.  Nodes may carry a second, independent
-    fingerprint fp2; it must then be near too, and runs up to PAIR_RUN give every pair.
-    With fp2, nodes may also carry part and size (longs): then every pair of different
-    parts is given, whatever the run, unless its sizes differ by more than `ratio` allows."""
-    columns = ["key", "id", *(c for c in ("fp", "fp2", "part", "size") if c in nodes.columns)]
+    `bits` bits or fewer: a spanning forest of the links, complete up to 5 bits."""
+    columns = ["key", "id", "fp"]
     schema = ", ".join(f"{c} long" for c in columns)
-    key_bits = bits if key_bits is None else key_bits
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns[1:]]
             for s in range(0, batch.num_rows, 256):
-                r, k = keys_of(cols[1][s : s + 256].view(np.uint64), key_bits)
+                r, k = keys_of(cols[1][s : s + 256].view(np.uint64), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[s : s + 256][r]) for c in cols)], names=columns)
 
     keyed = nodes.where(F.col("id").isNotNull()).select(*columns[1:]).mapInArrow(expand, schema)
@@ -278,14 +228,9 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None, ratio: float
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def emit(cols):
-            p, q = [c.view(np.uint64) for c in cols[2:4]] if len(cols) > 3 else (cols[2].view(np.uint64), None)
-            if len(cols) > 4:
-                found = _part_pairs(cols[0], cols[1], p, q, cols[4], cols[5], bits, ratio)
-            else:
-                found = [_run_edges(cols[0], cols[1], p, q, bits)]
-            for u, v in found:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        def emit(cols) -> pa.RecordBatch:
+            u, v = _run_edges(cols[0], cols[1], cols[2].view(np.uint64), bits)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -298,10 +243,10 @@ def links(nodes: DataFrame, bits: int, key_bits: int | None = None, ratio: float
             held.append([c[:last] for c in cols])
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
             if len(whole[0]):
-                yield from emit(whole)
+                yield emit(whole)
             held = [[c[last:] for c in cols]]
         if held:
-            yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield emit([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return ordered.mapInArrow(compare, "u long, v long")
 
@@ -314,88 +259,3 @@ def simhash_components(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
     named = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _jaccard(rows: DataFrame, at_least: float) -> DataFrame:
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                total = len(x) + len(y) - both
-                ok.append(bool(total) and both / total >= at_least)
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return rows.mapInArrow(keep, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 16) -> DataFrame:
-    """(doc_id, group): group is the smallest id among documents linked by exact copy or by
-    k-word shingle sets of that Jaccard similarity or more.
-
-    Candidates come from two independent fingerprints of each distinct text through the
-    Golay keys for 5 bits: complete up to 5 differing bits of either and found with falling
-    probability beyond.  Those near in both are verified on the whole shingle sets."""
-    digest = F.coalesce(F.sha2(F.col("text"), 256), F.lit(""))
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("d"))
-    ids = materialise(ids)
-    firsts = materialise(ids.groupBy("d").agg(F.min("doc_id").alias("id")))  # a plain side: Spark can split a hot text's rows
-    copies = materialise(ids.join(firsts, "d").select("doc_id", "id"))
-    prints = materialise(fingerprints(docs, k, prints=2))
-    first = prints.join(copies.select("id").distinct(), prints.doc_id == F.col("id"), "left_semi")
-    first = first.where("fp0 <> 0").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
-    first = materialise(first)
-
-    def near(nodes: DataFrame, *more: str) -> DataFrame:
-        edges = None
-        for fp, other in (("fp0", "fp1"), ("fp1", "fp0")):
-            # The other fingerprint is independent: chance neighbours hardly ever agree in both.
-            found = links(nodes.select("id", F.col(fp).alias("fp"), F.col(other).alias("fp2"), *more), bits, key_bits=5, ratio=similarity)
-            # A pair is proposed by each key it shares: once is enough.
-            found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-            edges = found if edges is None else edges.unionByName(found)
-        return edges.distinct()
-
-    edges = materialise(near(first))
-    wanted = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                # 32 bits of each hash: two texts of 1,000 shingles share one by chance once in 4,000 pairs
-                s = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k).astype(np.uint32)).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(s, pa.binary())], names=["id", "s"])
-
-    wanted = materialise(wanted)
-    texts = maybe_among(docs.select("doc_id", "text"), wanted, "doc_id", "id").where("_maybe").drop("_maybe")
-    texts = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    sets_of = materialise(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets_of.select(F.col("id").alias("u"), F.col("s").alias("a")), "u")
-        both = both.join(sets_of.select(F.col("id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
-        return materialise(_jaccard(both, similarity))
-
-    def apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
-        rest = pairs.join(group.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
-        rest = rest.join(group.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-        return rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-
-    # First each text with its smallest neighbour; pairs that this has put into one group
-    # need no shingle sets any more.
-    linked = verified(edges.groupBy("u").agg(F.min("v").alias("v")))
-    linked = materialise(linked.unionByName(verified(apart(edges, components(linked)))))
-    group = components(linked)
-    # A forest is enough only where all its edges hold.  Texts that are joined by proposed
-    # pairs but not by verified ones meet again, each with every near text of another part.
-    proposed = components(edges).join(group.select("node", F.col("root").alias("part")), "node", "left")
-    proposed = materialise(proposed.select("node", F.col("root").alias("tree"), F.coalesce("part", "node").alias("part")))
-    open_ = proposed.groupBy("tree").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("tree")
-    again = proposed.join(open_, "tree", "left_semi").select(F.col("node").alias("id"), "part")
-    again = again.join(first, "id").join(sets_of.select("id", F.expr("octet_length(s) DIV 4").alias("size")), "id")
-    missed = materialise(near(materialise(again), "part", "size").join(edges, ["u", "v"], "left_anti"))
-    more = verified(missed.join(group.select(F.col("node").alias("v"), "root"), "v", "left").groupBy("u", F.coalesce("root", "v")).agg(F.min("v").alias("v")).select("u", "v"))
-    linked = materialise(linked.unionByName(more))
-    found = components(linked.unionByName(verified(apart(missed, components(linked)))))
-    return copies.join(found, copies.id == found.node, "left").select("doc_id", F.coalesce("root", "id").alias("group"))
