@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxarbor.llm import langid, mixing, sentencepiece_fst, simhash, substring
+from voxarbor.llm import langid, mixing, sentencepiece_fst, substring
+from voxarbor.llm import near_duplicates as near
 from voxarbor.llm.common import materialise, maybe_among, table, tune
 
 
@@ -24,14 +25,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact or near copies (five-word shingles, Jaccard 0.8) the document
-    of the smallest id stays."""
+    of the smallest id stays, equal rows of one id once; rows without id all stay."""
     tune(spark)
-    groups = simhash.near_duplicates(docs, k=5, similarity=0.8)
-    gone = groups.where("doc_id <> group").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone)
+    groups = materialise(near.near_duplicates(docs, k=5, similarity=0.8))
+    gone = materialise(groups.where("doc_id <> group").select(F.col("doc_id").alias("_gone")))
     marked = maybe_among(docs, gone, "doc_id", "_gone")
     checked = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.where("NOT _maybe").unionByName(checked).select(*docs.columns)
+    kept = marked.where("NOT _maybe").unionByName(checked).select(*docs.columns)
+    again = groups.where("doc_id = group AND rows > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    marked = maybe_among(kept, again, "doc_id", "_again")
+    once = marked.where("_maybe").join(again, F.col("doc_id") == F.col("_again"), "left")
+    once = once.where("_again IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(once.where("_again IS NULL"))
+    return marked.where("NOT _maybe").unionByName(once.drop("_again")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
