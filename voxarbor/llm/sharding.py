@@ -6,9 +6,13 @@ rows below candidate boundaries (a histogram over the next bits of the key, summ
 on the map side), keeps only the one bucket that holds each cut, and refines it
 until the cut is within tolerance.  Then one exchange puts every row in its place.
 
+Equal texts stay in one shard: a cut that falls among them moves to their nearer edge.  Only a
+text whose copies hold more than GROUP_SHARE of a shard's bytes, a third of all rows say, is
+cut, by the id hash.
+
 Cases: null text counts as the empty text; null ids hash like any value; rows equal
 in text and id cannot be told apart and stay together; an empty table gives an empty
-result.  A text held by a third of all rows is cut by the id hash.
+result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .common import materialise
 #: Bits refined by a round: the first one looks at all rows, later ones at cut buckets.
 FIRST_BITS, NEXT_BITS, KEY_BITS = 12, 8, 63
 OVERHEAD = 16
+#: A text whose copies hold less of a shard than this is never cut.
+GROUP_SHARE = 0.25
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.001) -> list[
     The driver sees at most (n_shards-1) * 2**NEXT_BITS counts a round."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     cuts = [_Cut(total * (i + 1) / n_shards) for i in range(n_shards - 1)]
-    slack = tolerance * total / n_shards
+    slack, whole = tolerance * total / n_shards, GROUP_SHARE * total / n_shards
     while total and (open_ := [c for c in cuts if not c.done]):
         groups: dict[tuple, list[_Cut]] = {}
         for c in open_:
@@ -90,12 +96,12 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.001) -> list[
         for g, (p, members) in enumerate(groups.items()):
             rows = sorted(by.get(g, []), key=lambda r: r.d)
             for c in members:
-                _narrow(c, rows, bits_of[g], slack)
+                _narrow(c, rows, bits_of[g], slack, whole)
     out = [(c.k1, c.k2) for c in cuts]
     return sorted(out)
 
 
-def _narrow(c: _Cut, rows: list, bits: int, slack: float) -> None:
+def _narrow(c: _Cut, rows: list, bits: int, slack: float, whole: float) -> None:
     fixed1, used = c.fixed1, c.used
     for r in rows:
         if c.below + r.bytes < c.target:
@@ -107,11 +113,12 @@ def _narrow(c: _Cut, rows: list, bits: int, slack: float) -> None:
         start = (c.k1, c.k2 | low) if fixed1 else (c.k1 | low, 0)
         near = min(c.target - c.below, c.below + r.bytes - c.target)
         one_text, one_row_key = r.lo1 == r.hi1, r.lo1 == r.hi1 and r.lo2 == r.hi2
-        if near <= slack or one_row_key or (fixed1 and step == 0):
+        kept = one_text and not fixed1 and r.bytes <= whole  # copies of a text that stay together
+        if near <= slack or kept or one_row_key or (fixed1 and step == 0):
             c.done = True
             if c.target - c.below <= c.below + r.bytes - c.target:
                 c.k1, c.k2 = start
-            elif fixed1 or one_text:
+            elif fixed1:
                 c.k1, c.k2 = r.lo1, r.hi2 + 1
             else:
                 c.k1, c.k2 = r.hi1 + 1, 0
