@@ -26,6 +26,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 #: Budget (in words) that the dynamic programme resolves, at least.
 DP_WORDS = 1 << 16
+#: Steps of the programme between two that are kept.
+STEPS_KEPT = 64
 #: A (source, length) group beyond this is ranked in hash buckets.
 GROUP_ROWS = 500
 BUCKET_BITS = 10
@@ -69,41 +71,55 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, cap=CAP)
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come closest to
-    `budget` from below, found by bounded knapsack on what a proportional share leaves."""
+    `budget` from below, by bounded knapsack.
+
+    Up to a window of words (DP_WORDS, or twice the longest text) the programme settles the
+    whole budget, and its sum is the best there is.  Of a larger budget all but a window is
+    shared out in proportion first; the programme then fills the window, exactly, from
+    everything that is left."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
-    rest = int(budget - (take * lengths).sum())
     window = max(DP_WORDS, 2 * int(lengths.max()))
-    for i in np.argsort(-lengths, kind="stable"):
+    take = np.floor(counts * max(0.0, (budget - window) / total)).astype(np.int64)
+    rest = int(budget - (take * lengths).sum())
+    falling = np.argsort(-lengths, kind="stable")
+    for i in falling:  # what rounding has left, one more of each length
         if rest <= window:
             break
         if take[i] < counts[i] and 0 < lengths[i] <= rest:
             take[i] += 1
             rest -= int(lengths[i])
     items: list[tuple[int, int, int]] = []  # length index, copies, words
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in falling:
         spare, step = int(counts[i] - take[i]), 1
         spare = min(spare, rest // int(lengths[i])) if lengths[i] > 0 else 0
         while spare > 0:
             n = min(step, spare)
             items.append((int(i), n, n * int(lengths[i])))
             spare, step = spare - n, step * 2
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, [1]
+    # Sums that the first k items reach are bits of an integer; every STEPS_KEPT-th is kept,
+    # those between are worked out again on the way back.
+    mask, reach, kept, done = (1 << (rest + 1)) - 1, 1, [1], 0
     for _, _, words in items:
         reach |= (reach << words) & mask
-        steps.append(reach)
+        done += 1
+        if done % STEPS_KEPT == 0:
+            kept.append(reach)
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
-    for k in range(len(steps) - 1, 0, -1):
-        if not steps[k - 1] >> at & 1:
-            i, n, words = items[k - 1]
-            take[i] += n
-            at -= words
+    for block in range((done - 1) // STEPS_KEPT, -1, -1):
+        first, steps = block * STEPS_KEPT, [kept[block]]
+        for _, _, words in items[first : min(done, first + STEPS_KEPT) - 1]:
+            steps.append(steps[-1] | (steps[-1] << words) & mask)
+        for k in range(len(steps) - 1, -1, -1):
+            if not steps[k] >> at & 1:
+                i, n, words = items[first + k]
+                take[i] += n
+                at -= words
     return take
 
 
