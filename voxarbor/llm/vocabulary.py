@@ -97,8 +97,8 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
         kind, dummy = {1: "unigram", 2: "bpe"}[spec.trainer_spec.model_type], spec.normalizer_spec.add_dummy_prefix
         if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only identity normalisers are compiled")
-    except ImportError:
-        kind, dummy = "bpe", True
+    except ImportError as e:
+        raise ValueError(f"the kind of the model {path} cannot be told without the protobuf package") from e
     ids, scores, byte_ids = {}, {}, [sp.unk_id()] * 256
     for i in range(sp.get_piece_size()):
         if sp.is_byte(i):
