@@ -6,7 +6,8 @@ whole corpus has no size bound, so documents travel to the shards instead:
 
 1. Every window has an anchor: the smallest hash among its K-word grams, which equal
    windows share.  Anchors seen once are dropped; the others name a reference shard, the
-   home of the first text that has them (a very frequent anchor is a shard of its own).
+   home of the first text that has them (a frequent anchor is a shard of its own, a very
+   frequent one several: its windows are dealt by their own hash).
 2. A document's runs of windows with the same home go to that shard, where all equal
    windows meet.
 3. A shard streams its runs in corpus order through a suffix automaton of what came
@@ -37,32 +38,61 @@ from .common import materialise, maybe_among, pieces, worker_state
 GRAM = 6
 #: Texts that share an anchor beyond this number make it a shard of its own.
 FREQUENT = 1000
-_MEMO_WORDS = 300_000
+#: Runs beyond this number make an anchor several shards, by the hash of each window.
+SPLIT = 4096
+#: Digests of texts that a task remembers; bytes of text laid end to end.
+SEEN, PIECE = 300_000, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: Bytes that end a word.
+_BLANK = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = 1 << n.bit_length()
+            self.up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, self.base, np.uint64))])
+            self.down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, pow(self.base, -1, 1 << 64), np.uint64))])
+        return self.up, self.down
+
+
+_BYTES = _Powers(0xD6E8FEB86659FD93)
 
 
 class _Texts:
     """Words of several texts laid end to end, with the anchor of every window."""
 
-    def __init__(self, texts: list[str | None], window: int, memo: _WordHashes):
-        self.words: list[list[bytes]] = [[] if t is None else t.encode("utf-8", "surrogatepass").split() for t in texts]
-        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        n = int(self.first[-1])
-        h = np.fromiter((memo[w] for ws in self.words for w in ws), dtype=np.uint64, count=n)
+    def __init__(self, texts: list[str | None], window: int):
+        self.raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b" ".join([*self.raw, b""]), dtype=np.uint8)
+        blank = np.concatenate([[True], _BLANK[data]])
+        begins, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+        self.begins, self.ends = begins, ends
+        offset = np.cumsum([0, *(len(r) + 1 for r in self.raw)])
+        self.offset = offset
+        self.first = np.searchsorted(begins, offset)
+        sizes, n = np.diff(self.first), len(begins)
         if n < window:
             self.windows = np.zeros(0, dtype=np.int64)
             self.doc = self.at = self.windows
-            self.hash = h[:0]
+            self.hash = np.zeros(0, dtype=np.uint64)
             return
+        # the hash of a word is a polynomial in its bytes, from prefix sums over all of them
+        up, down = _BYTES.to(len(data))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[begins]) * down[begins]
+        del sums
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
         gram = h[: n - GRAM + 1].copy()
         for t in range(1, GRAM):
             gram += h[t : n - GRAM + 1 + t] * np.uint64(pow(_BASE, t, 1 << 64))
@@ -83,6 +113,11 @@ class _Texts:
         self.windows, self.doc = starts[inside], doc[starts[inside]]
         self.at, self.hash = at[starts[inside]], low[starts[inside]]
 
+    def words(self, doc: int, start: int, stop: int) -> bytes:
+        """Words start to stop (not included) of a text, joined by one space."""
+        a, b, at = self.first[doc] + start, self.first[doc] + stop - 1, self.offset[doc]
+        return b" ".join(self.raw[doc][self.begins[a] - at : self.ends[b] - at].split())
+
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """(h, t): anchors of each text t (a hash); an anchor at two places of a text also has
@@ -90,19 +125,19 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("substring")
-        memo, seen = _WordHashes(), set()
+        seen = set()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 t = part.column("t").to_pylist()
                 fresh = []
                 for i, x in enumerate(t):
                     if x not in seen:
-                        if len(seen) >= _MEMO_WORDS:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(x)
                         fresh.append(i)
                 text = part.column("text")
-                laid = _Texts([text[i].as_py() for i in fresh], window, memo)
+                laid = _Texts([text[i].as_py() for i in fresh], window)
                 if not len(laid.windows):
                     continue
                 keep = np.concatenate([[True], (laid.at[1:] != laid.at[:-1]) | (laid.doc[1:] != laid.doc[:-1])])
@@ -124,10 +159,9 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     """Runs of windows bound for one shard, of documents that carry their repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHashes()
         for batch in batches:
-            for part in pieces(batch, "text"):
-                laid = _Texts(part.column("text").to_pylist(), window, memo)
+            for part in pieces(batch, "text", PIECE):
+                laid = _Texts(part.column("text").to_pylist(), window)
                 ids, ts = part.column("doc_id").to_pylist(), part.column("t").to_pylist()
                 anchors = part.column("anchors")
                 out = []
@@ -139,17 +173,26 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                         continue
                     h = known.field("h").to_numpy(zero_copy_only=False)
                     order = np.argsort(h)
-                    h, key, hot = h[order], known.field("key").to_numpy(zero_copy_only=False)[order], known.field("hot").to_numpy(zero_copy_only=False)[order]
+                    h, key, shards = h[order], known.field("key").to_numpy(zero_copy_only=False)[order], known.field("shards").to_numpy(zero_copy_only=False)[order]
                     mine = laid.hash[a:b].view(np.int64)
                     where = np.minimum(np.searchsorted(h, mine), len(h) - 1)
                     hit = h[where] == mine
                     k = key[where]
                     cut = np.flatnonzero((k[1:] != k[:-1]) | (hit[1:] != hit[:-1])) + 1
                     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), b - a], strict=True):
-                        if hit[s]:
-                            start = int(laid.windows[a + s] - laid.first[i])
-                            stop = int(laid.windows[a + e - 1] - laid.first[i]) + window
-                            out.append((int(k[s]), bool(hot[where[s]]), ids[i], ts[i], start, b" ".join(laid.words[i][start:stop])))
+                        if not hit[s]:
+                            continue
+                        start = int(laid.windows[a + s] - laid.first[i])
+                        stop = int(laid.windows[a + e - 1] - laid.first[i]) + window
+                        words, parts = laid.words(i, start, stop), int(shards[where[s]])
+                        if parts <= 1:
+                            out.append((int(k[s]), parts > 0, ids[i], ts[i], start, words))
+                            continue
+                        words = words.split(b" ")
+                        for at in range(len(words) - window + 1):
+                            one = b" ".join(words[at : at + window])
+                            mixed = xxhash.xxh64_intdigest(f"{k[s]} {xxhash.xxh64_intdigest(one) % parts}")
+                            out.append((mixed - (1 << 63), True, ids[i], ts[i], start + at, one))
                 if out:
                     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                     cols = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -295,8 +338,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     hot = F.col("n") > FREQUENT
     # Written out, so that the join below is one of two plain exchanges and Spark can split
     # the rows of a frequent anchor among tasks.
-    shared = materialise(shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), hot.alias("hot")))
-    by_text = anchors.join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "key", "hot")).alias("anchors"))
+    shards = F.when(hot, F.ceil(F.col("n") / SPLIT)).otherwise(0).cast("int")  # 0: shared with other anchors
+    shared = materialise(shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), shards.alias("shards")))
+    by_text = anchors.join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "key", "shards")).alias("anchors"))
     reps = ids.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialise(by_text.join(reps, "t"))
     near = maybe_among(base, wanted, "doc_id", "doc_id").where("_maybe")
