@@ -123,6 +123,25 @@ def test_op3(spark, folder, docs):
     assert max(total.values()) <= mean + max(size.values())
 
 
+def test_op3_keeps_copies_together(spark):
+    """Copies of a text share a shard, but for a text too large for one."""
+    from voxarbor.llm import sharding
+
+    rng = random.Random(4)
+    texts = [prose(rng, "en", rng.randint(5, 200)) for _ in range(400)]
+    rows = [(i, texts[i // 5]) for i in range(2000)] + [(5000 + i, "the same text " * 20) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.histogram_shards(docs, 8).collect()
+    at, total, text = defaultdict(set), Counter(), dict(rows)
+    for r in got:
+        at[text[r.doc_id]].add(r.shard)
+        total[r.shard] += r["size"]
+    assert len(got) == len(rows) and len(at["the same text " * 20]) > 1
+    assert all(len(s) == 1 for t, s in at.items() if t != "the same text " * 20)
+    mean = sum(total.values()) / 8
+    assert all(abs(n - mean) <= 0.25 * mean for n in total.values())
+
+
 def test_op4_and_op7(spark, folder, docs):
     import sentencepiece
 
@@ -199,7 +218,20 @@ def test_fit_hits_reachable_sums():
         counts = np.array([rng.randint(1, 3) for _ in lengths])
         budget = rng.randint(0, int((lengths * counts).sum()))
         take = mixing.fit(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() <= budget
+        assert (take >= 0).all() and (take <= counts).all()
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        assert (take * lengths).sum() == max(s for s in sums if s <= budget)
+
+
+def test_fit_on_the_way_back(monkeypatch):
+    import numpy as np
+
+    lengths, counts = np.arange(2, 400, 2), np.full(199, 30)
+    want = mixing.fit(lengths, counts, 200_001)
+    monkeypatch.setattr(mixing, "STEPS_KEPT", 3)
+    assert (mixing.fit(lengths, counts, 200_001) == want).all() and (want * lengths).sum() == 200_000
 
 
 def test_op8(spark, folder):
@@ -213,6 +245,25 @@ def test_op8(spark, folder):
     assert {tuple(r) for r in run(spark, folder, "op8_top_k")} == want
 
 
+def test_blocks_are_skipped():
+    """On vectors in clusters bounds skip most blocks; results are those of a full scan."""
+    import numpy as np
+    from voxarbor.llm import topk
+
+    rng = np.random.default_rng(0)
+    m = np.floor(256 * (np.repeat(rng.normal(size=(20, 16)), 200, 0) + 0.05 * rng.normal(size=(4000, 16))))
+    m = m[rng.permutation(4000)]
+    ids, at = np.arange(4000), np.arange(0, 4000, 50)
+    s = (m[at] @ m.T).astype(int)
+    s[np.arange(80), at] = -(10**15)
+    want = {(q, int(i), int(s[q, i])) for q in range(80) for i in np.lexsort((ids, -s[q]))[:5]}
+    floor = np.sort(s, axis=1)[:, -5]
+    for given in (None, floor):
+        q, i, score, scored = topk.best_in(ids, m, at, m[at], 5, given)
+        assert {(int(a), int(b), int(c)) for a, b, c in zip(q, i, score, strict=True)} == want
+        assert scored < 0.5 * 80 * 4000 / topk.BLOCK_ROWS
+
+
 def test_op9(spark, folder, docs):
     def mark(text):
         w = (text or "").encode().lower().split()
@@ -317,3 +368,13 @@ def test_unigram_models_take_the_shortest_path():
         got = Transducer(model).encode([text])[0]
         assert abs(sum(weight[k] for k in got.tolist()) - best[-1]) < 1e-9
         assert CountTrie(model).counts([text])[0] == len(got)
+
+
+def test_op2_with_split_shards(spark, folder, monkeypatch):
+    """Frequent and very frequent anchors give what others give."""
+    from voxarbor.llm import substring
+
+    want = {tuple(r) for r in run(spark, folder, "op2_substring_dedup")}
+    monkeypatch.setattr(substring, "FREQUENT", 2)
+    monkeypatch.setattr(substring, "SPLIT", 3)
+    assert {tuple(r) for r in run(spark, folder, "op2_substring_dedup")} == want
