@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxarbor.functions.coords import FACE6, box_offsets, offsets
-from voxarbor.functions.storage import materialise
+from voxarbor.functions.storage import materialise, release
 
 from . import graph
 
@@ -104,12 +106,89 @@ def summary(labels: DataFrame) -> DataFrame:
     return out.withColumn("box_volume", (side[0].cast("long") * side[1] * side[2])).withColumn("depth", side[2])
 
 
-def reachable(mask: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+#: Edge of the cubes in which levels are worked out by one task.
+LEVEL_BLOCK = 32
+_FAR = 1 << 30
+
+
+def _relax(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one block's voxels from those known and those that arrive, one level's voxels
+    at a time."""
+    arrives, side = pdf.arrives.to_numpy(), LEVEL_BLOCK + 2  # an empty rim all around
+    at = [pdf[a].to_numpy() - LEVEL_BLOCK * int(pdf[f"b{a}"].iloc[0]) + 1 for a in XYZ]
+    cell = (at[0] * side + at[1]) * side + at[2]
+    given = pdf.level.fillna(_FAR).to_numpy().astype(np.int64)
+    on, level = np.zeros(side**3, dtype=bool), np.full(side**3, _FAR, dtype=np.int64)
+    on[cell[~arrives]] = True
+    level[cell[~arrives]] = given[~arrives]
+    come, when = cell[arrives], given[arrives]
+    better = on[come] & (when < level[come])
+    come, when = come[better], when[better]
+    np.minimum.at(level, come, when)
+    waiting = {int(n): come[when == n] for n in np.unique(when)}
+    steps = np.array([side * side, -side * side, side, -side, 1, -1])
+    n, front = 0, np.zeros(0, dtype=np.int64)
+    while waiting or len(front):
+        n = n + 1 if len(front) else min(waiting)
+        new = waiting.pop(n, front[:0])
+        front = np.union1d(front, new[level[new] == n])
+        near = (front[:, None] + steps).ravel()
+        near = np.unique(near[on[near] & (level[near] > n + 1)])
+        level[near] = n + 1
+        front = near
+    out = pdf.loc[~arrives, [*XYZ, "bx", "by", "bz"]].copy()
+    found = level[cell[~arrives]]
+    out["level"] = pd.array(np.where(found < _FAR, found, 0), dtype="Int32")
+    out.loc[found == _FAR, "level"] = pd.NA
+    out["changed"] = found < given[~arrives]
+    return out
+
+
+def block_levels(mask: DataFrame, start: DataFrame) -> DataFrame:
+    """x, y, z, level: hops inside the mask from the nearest start voxel; unreached ones are
+    left out.  Blocks of LEVEL_BLOCK cubed expand to their faces in one task each; a round
+    exchanges what crosses a face, so rounds follow the blocks a path crosses, not its hops."""
+    block = {f"b{a}": F.floor(F.col(a) / LEVEL_BLOCK).cast("int") for a in XYZ}
+    cells = [F.col(a).cast("int").alias(a) for a in XYZ]
+    by, none = list(block), F.lit(None).cast("int")
+    state = materialise(mask.select(*cells).distinct().withColumns(block).withColumn("level", none))
+    arrivals = start.select(*cells).distinct().withColumn("level", F.lit(0)).withColumns(block)
+    arrivals = materialise(arrivals.join(state.select(*XYZ), XYZ, "left_semi"))
+    columns = [*XYZ, *by, "level"]
+    while not arrivals.isEmpty():
+        active = arrivals.select(*by).distinct()
+        work = state.join(active, by, "left_semi").select(*columns).withColumn("arrives", F.lit(False))
+        work = work.unionByName(arrivals.select(*columns).withColumn("arrives", F.lit(True)))
+        done = materialise(work.groupBy(*by).applyInPandas(_relax, ", ".join(f"{c} int" for c in columns) + ", changed boolean"))
+        before, state = state, materialise(state.join(active, by, "left_anti").select(*columns).unionByName(done.select(*columns)))
+        rim = F.lit(False)
+        for a in XYZ:
+            rim = rim | F.pmod(F.col(a), F.lit(LEVEL_BLOCK)).isin(0, LEVEL_BLOCK - 1)
+        out = done.where("changed").where(rim).select(*XYZ, *by, (F.col("level") + 1).alias("level"), F.explode(offsets(FACE6)).alias("d"))
+        out = out.select(*(F.col(f"b{a}").alias(f"o{a}") for a in XYZ), *((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ), "level").withColumns(block)
+        other = F.lit(False)
+        for a in XYZ:
+            other = other | (F.col(f"b{a}") != F.col(f"o{a}"))
+        out = out.where(other).groupBy(*XYZ, *by).agg(F.min("level").alias("level"))
+        known = state.select(*XYZ, F.col("level").alias("known"))
+        nxt = materialise(out.join(known, XYZ).where("known IS NULL OR known > level").select(*columns))
+        release(before, done, arrivals)
+        arrivals = nxt
+    return state.where("level IS NOT NULL").select(*XYZ, "level")
+
+
+def reachable(mask: DataFrame, seeds: DataFrame) -> DataFrame:
     """x, y, z, level: active voxels connected to a seed voxel and their hops from it."""
-    mask = materialise(keyed(mask))
-    start = mask.join(seeds.select(*XYZ).distinct(), XYZ, "left_semi").select("id")
-    found = graph.levels(start, materialise(neighbour_edges(mask)), limit)
-    return mask.join(found, "id").select(*XYZ, "level")
+    return block_levels(mask, seeds)
+
+
+def revisits(mask: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row: voxels reached from the seeds and how often one was looked at again."""
+    reach = materialise(keyed(reachable(mask, seeds).select(*XYZ)))
+    start = reach.join(seeds.select(*XYZ).distinct(), XYZ, "left_semi").agg(F.count(F.lit(1)).alias("starts"))
+    looks = neighbour_edges(reach).agg(F.count(F.lit(1)).alias("looks"))
+    return reach.agg(F.count(F.lit(1)).alias("reached")).crossJoin(start).crossJoin(looks).select(
+        "reached", (F.col("looks") - F.col("reached") + F.col("starts")).alias("revisits"))
 
 
 def surface(mask: DataFrame) -> DataFrame:
@@ -211,3 +290,32 @@ def windows(component: DataFrame, seeds: DataFrame, least: float, expand: float,
                                         for x in (F.min(F.col(a) - r).alias(f"s_min_{a}"), F.max(F.col(a) + r).alias(f"s_max_{a}"))))
     j = component.join(grown, "comp")
     return j.select("comp", *(x for a in XYZ for x in (F.least(f"min_{a}", f"s_min_{a}").alias(f"min_{a}"), F.greatest(f"max_{a}", f"s_max_{a}").alias(f"max_{a}"))))
+
+
+def hop_balls(centres: DataFrame, radius: str = "radius") -> DataFrame:
+    """centre columns plus the voxels (vx, vy, vz) within so many face hops; each axis is spread
+    over what the ones before have left of the radius."""
+    out, left = centres, F.floor(F.col(radius)).cast("int")
+    for a in XYZ:
+        out = out.withColumn(f"_{a}", F.explode(F.sequence(-left, left)))
+        left = left - F.abs(F.col(f"_{a}"))
+    return out.select(*centres.columns, *((F.col(a) + F.col(f"_{a}")).alias(f"v{a}") for a in XYZ))
+
+
+def polygon_quads(polygons: DataFrame) -> DataFrame:
+    """Each polygon (v: 4, 6 or 8 corners in order) as quads (k, quad); other sizes raise."""
+    cut = {4: [(0, 1, 2, 3)], 6: [(0, 1, 2, 3), (0, 3, 4, 5)], 8: [(0, 1, 2, 3), (3, 4, 7, 0), (4, 5, 6, 7)]}
+    v = F.col("v")
+    quads = F.raise_error(F.lit("polygons of 4, 6 or 8 corners only")).cast("array<array<bigint>>")
+    for n, parts in cut.items():
+        quads = F.when(F.size(v) == n, F.array(*(F.array(*(v[i].cast("long") for i in q)) for q in parts))).otherwise(quads)
+    return polygons.select("*", F.posexplode(quads).alias("k", "quad"))
+
+
+def scaled_patches(image: DataFrame, centres: DataFrame, side: int, scales: tuple[int, ...]) -> DataFrame:
+    """centre columns, scale and the cells (i, j, v) of a square patch in the centre's plane,
+    every scale-th pixel; v is null beyond the image."""
+    span = F.sequence(F.lit(0), F.lit(side - 1))
+    cells = centres.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
+    at = {"x": F.col("x") + (F.col("i") - side // 2) * F.col("scale"), "y": F.col("y") + (F.col("j") - side // 2) * F.col("scale")}
+    return cells.withColumns(at).join(image.select(*XYZ, "v"), XYZ, "left")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxarbor.functions.storage import materialise
+
 
 def trimmed(df: DataFrame, score: str, deviations: float = 2.0) -> DataFrame:
     """Rows within so many sample deviations of the mean."""
@@ -47,3 +52,70 @@ def class_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     tp, pos, found = F.col("tp"), F.col("pos"), F.col("found")
     part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return s.select("class", part(tp, pos + found - tp).alias("iou"), part(tp, found).alias("precision_"), part(tp, pos).alias("recall"))
+
+
+def numbered(df: DataFrame, *by: str, name: str = "idx") -> DataFrame:
+    """df with 0, 1, 2, ... in the order of `by`: ranges are dealt to tasks, ranked there, and
+    moved by the counts of the ranges before."""
+    placed = materialise(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    placed = placed.withColumn("_rank", rank).join(F.broadcast(counts.select("_part", "_before")), "_part")
+    return placed.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_part", "_rank", "_before")
+
+
+def merged_mass(parts: DataFrame) -> DataFrame:
+    """(comp, mass, x, y, z) from partial masses and centres of chunks, weighted by mass."""
+    mean = [(F.sum(F.col(a) * F.col("mass")) / F.sum("mass")).alias(a) for a in ("x", "y", "z")]
+    return parts.groupBy("comp").agg(F.sum("mass").alias("mass"), *mean)
+
+
+def cumulative_histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """(bin, n, share): counts of bins of a width and the share of rows up to each bin."""
+    bins = df.groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # one row a bin
+    total = Window.partitionBy(F.lit(0))
+    return bins.select("bin", "n", (F.sum("n").over(upto) / F.sum("n").over(total)).alias("share"))
+
+
+class PolynomialDistribution:
+    """An angle's distribution on [0, pi]: a polynomial of the scaled angle, normalised; read
+    from JSON entries {key: {coefficients, mean, std}}, coefficients from the highest power."""
+
+    def __init__(self, coefficients: list[float], mean: float, std: float):
+        self.mean, self.std = mean, std
+        order = range(len(coefficients) - 1, -1, -1)
+        whole = [c / (k + 1) for c, k in zip(coefficients, order, strict=True)] + [0.0]
+        low, high = (self._at(whole, (v - mean) / std) for v in (0.0, math.pi))
+        self.density = [c / (high - low) for c in coefficients]
+        self.below = [c / (high - low) for c in whole]
+        self.below[-1] = -low / (high - low)
+
+    @classmethod
+    def from_json(cls, text: str, key: str) -> PolynomialDistribution:
+        entries = json.loads(text)
+        if key not in entries:
+            raise ValueError(f"no distribution for {key}")
+        e = entries[key]
+        return cls(e["coefficients"], e["mean"], e["std"])
+
+    @staticmethod
+    def _at(coefficients: list[float], x):
+        out = x * 0.0
+        for c in coefficients:
+            out = out * x + c
+        return out
+
+    def scaled(self, angle: Column) -> Column:
+        return (angle - self.mean) / self.std
+
+    def pdf(self, angle: Column) -> Column:
+        return self._at(self.density, self.scaled(angle))
+
+    def cdf(self, angle: Column) -> Column:
+        return self._at(self.below, self.scaled(angle))
+
+    def tail(self, angle: Column) -> Column:
+        """P(X >= angle)."""
+        return F.lit(1.0) - self.cdf(angle)

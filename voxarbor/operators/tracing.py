@@ -125,15 +125,17 @@ def smooth_curve(tree: DataFrame, window: int = 5) -> DataFrame:
 
 def split_multifurcations(tree: DataFrame) -> DataFrame:
     """Nodes with more than two children get a chain of helper nodes at their place so that
-    none has more than two: (id, parent, x, y, z, radius); helpers have negative ids.
+    none has more than two: (id, parent, x, y, z, radius); helpers have negative ids (those of
+    the tree are 0 or more).
     Children keep their order by id; a root may keep any number."""
     kids = trees.child_lists(tree).where(F.size("child_ids") > 2).join(tree.where("parent IS NOT NULL").select("id"), "id", "left_semi")
-    first = F.col("id") * -1_000_000
-    helper = kids.select("id", F.posexplode(F.expr("sequence(1, size(child_ids) - 2)")).alias("k", "n"))
+    # the n-th helper is named after the n-th child, which hangs on it
+    name = lambda n: F.lit(-1) - F.element_at("child_ids", n + 1)
+    helper = kids.select("id", "child_ids", F.explode(F.expr("sequence(1, size(child_ids) - 2)")).alias("n"))
     at = tree.select("id", *XYZ, "radius")
-    new = helper.join(at, "id").select((first - F.col("n")).alias("new"), F.when(F.col("n") == 1, F.col("id")).otherwise(first - F.col("n") + 1).alias("parent"), *XYZ, "radius")
-    moved = kids.select("id", F.size("child_ids").alias("size"), F.posexplode("child_ids").alias("k", "child"))
-    moved = moved.where("k > 0").select("child", (first - F.least("k", F.col("size") - 2)).alias("to_parent"))
+    new = helper.join(at, "id").select(name(F.col("n")).alias("new"), F.when(F.col("n") == 1, F.col("id")).otherwise(name(F.col("n") - 1)).alias("parent"), *XYZ, "radius")
+    moved = kids.select("child_ids", F.posexplode("child_ids").alias("k", "child"))
+    moved = moved.where("k > 0").select("child", name(F.least(F.col("k"), F.size("child_ids") - 2)).alias("to_parent"))
     old = tree.join(moved, tree.id == moved.child, "left").select("id", F.coalesce("to_parent", "parent").alias("parent"), *XYZ, "radius")
     return old.unionByName(new.withColumnRenamed("new", "id"))
 

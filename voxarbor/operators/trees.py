@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxarbor.functions.storage import materialise
+from voxarbor.functions.storage import materialise, release
+
+from . import graph
 
 XYZ = ("x", "y", "z")
 
@@ -36,18 +38,26 @@ def edge_length() -> Column:
 
 def climb(steps: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
     """From (id, up, sums...) to (id, top, hops, sums...): follow `up` until it is null and add
-    up what each step carries.  Steps of a row with null `up` count nothing."""
+    up what each step carries.  Steps of a row with null `up` count nothing.  A walk that goes on
+    after more hops than there are rows runs in a circle, which raises."""
     now = steps.select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), *(F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col(c)).alias(c) for c in sums))
     now = materialise(now.withColumn("at", F.coalesce("up", "id")))
+    most, reach = now.count(), 1
     while True:
         far = now.select(F.col("id").alias("m"), F.col("at").alias("m_at"), F.col("hops").alias("m_hops"), *(F.col(c).alias(f"m_{c}") for c in sums))
         nxt = now.join(far, now.at == far.m).select(
             "id", F.col("m_at").alias("at"), (F.col("hops") + F.col("m_hops")).alias("hops"), (F.col("m_hops") > 0).alias("moved"),
             *((F.col(c) + F.col(f"m_{c}")).alias(c) for c in sums))
         nxt = materialise(nxt)
-        if nxt.where("moved").isEmpty():
+        moving = nxt.where("moved").select("id").first()
+        if moving is None:
             return nxt.select("id", F.col("at").alias("top"), "hops", *sums)
-        now = nxt.drop("moved")
+        reach *= 2
+        if reach > 2 * most:
+            raise ValueError(f"the parents of node {moving.id} form a circle")
+        before, now = now, nxt.drop("moved")
+        now.written_at = nxt.written_at
+        release(before)
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -251,3 +261,82 @@ def persistence_image(bars: DataFrame, size: int, most: float, spread: float) ->
     img = cells.groupBy("i", "j").agg(F.sum(F.exp(-d2 / F.lit(2 * spread * spread))).alias("v"))
     top = img.agg(F.max("v").alias("top"))
     return img.crossJoin(F.broadcast(top)).select("i", "j", (F.col("v") / F.col("top")).alias("value"))
+
+
+def prune_leaf_branches(tree: DataFrame, least: float, by: str = "length", stable: DataFrame | None = None) -> DataFrame:
+    """The tree after leaf branches with less than `least` of `by` (length, or hops: nodes) have
+    gone from branching nodes, until none is left.  Of a branching node all of whose branches
+    are short leaf branches the one with the largest leaf stays for the next round, where it is
+    part of a longer branch.  Leaves in stable(id) stay."""
+    while True:
+        t = with_children(tree).select(F.col("id").alias("top"), "children")
+        b = leaf_branches(tree).join(t.where("children > 1"), "top").where(F.col(by) < least)
+        last = Window.partitionBy("top")
+        b = b.withColumns({"_n": F.count(F.lit(1)).over(last), "_last": F.max("leaf").over(last)})
+        b = b.where((F.col("_n") < F.col("children")) | (F.col("leaf") != F.col("_last"))).select(F.col("leaf").alias("neurite"))
+        if stable is not None:
+            b = b.join(stable.select(F.col("id").alias("neurite")), "neurite", "left_anti")
+        b = materialise(b)
+        if b.isEmpty():
+            return tree
+        gone = neurites(tree).join(b, "neurite", "left_semi").select("id")
+        tree = materialise(tree.join(gone, "id", "left_anti"))
+
+
+def claim(edges: DataFrame, somas: DataFrame) -> DataFrame:
+    """(soma, id, parent, level): the graph edges(src, dst), both ways, oriented outward from
+    somas(id).  No walk enters another soma; what several somas reach goes to the smallest id,
+    as if they had walked one after the other.  Parents are the smallest neighbour one hop
+    nearer; nodes that no soma reaches are left out.
+
+    Without somas the graph falls into regions; a walk that enters a region fills it, so the
+    first soma at a region's border owns all of it and the regions can be walked at once."""
+    s = materialise(somas.select("id").distinct())
+    free = edges.join(s.select(F.col("id").alias("src")), "src", "left_anti")
+    inner = materialise(free.join(s.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    nodes = edges.select(F.col("dst").alias("id")).distinct().join(s, "id", "left_anti")
+    region = materialise(graph.components(nodes, inner).select(F.col("id").alias("dst"), "comp"))
+    touch = edges.join(s.select(F.col("id").alias("src")), "src").join(region, "dst")
+    owner = materialise(touch.groupBy("comp").agg(F.min("src").alias("src")))
+    enter = touch.join(owner, ["comp", "src"]).select("src", "dst")
+    walk = materialise(inner.unionByName(enter))
+    level = materialise(graph.levels(s, walk))
+    near = walk.join(level.select(F.col("id").alias("src"), (F.col("level") + 1).alias("level")), "src")
+    parent = near.join(level.select(F.col("id").alias("dst"), "level"), ["dst", "level"]).groupBy("dst").agg(F.min("src").alias("parent"))
+    of = region.join(owner, "comp").select(F.col("dst").alias("id"), F.col("src").alias("soma")).unionByName(s.select("id", F.col("id").alias("soma")))
+    return level.join(of, "id").join(parent.withColumnRenamed("dst", "id"), "id", "left").select("soma", "id", "parent", "level")
+
+
+def claimed_lines(claimed: DataFrame, tree: DataFrame, eswc: bool = False) -> DataFrame:
+    """(soma, n, line): SWC lines of each soma's tree, ids 1.. by level and id, root first."""
+    num = F.row_number().over(Window.partitionBy("soma").orderBy("level", "id"))
+    c = materialise(claimed.withColumn("n", num))
+    p = c.select("soma", F.col("id").alias("parent"), F.col("n").alias("up"))
+    rows = c.join(p, ["soma", "parent"], "left").join(tree.select("id", *XYZ, "radius"), "id")
+    root = F.col("parent").isNull()
+    line = F.format_string("%d %d %.3f %.3f %.3f %.3f %d", "n", F.when(root, 1).otherwise(3), *XYZ, "radius", F.coalesce("up", F.lit(0 if eswc else -1)))
+    return rows.select("soma", "n", F.concat(line, F.lit(" 0 0 0 0 1")).alias("line") if eswc else line.alias("line"))
+
+
+def forced_somas(tree: DataFrame, somas: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after each soma (soma, x, y, z, radius) has taken the nodes held(soma, id)
+    near it: the soma keeps its own place and radius as node -soma and inherits their edges.  A
+    node near several somas goes to the smallest."""
+    into = materialise(held.groupBy("id").agg((-F.min("soma")).alias("into")))
+    nodes = tree.select("id", *XYZ, "radius").join(into, "id", "left_anti")
+    nodes = nodes.unionByName(somas.select((-F.col("soma")).alias("id"), *XYZ, "radius"))
+    e = undirected(tree)
+    for c in ("src", "dst"):
+        e = e.join(into.select(F.col("id").alias(c), F.col("into").alias(f"i_{c}")), c, "left")
+    e = e.select(F.coalesce("i_src", "src").alias("src"), F.coalesce("i_dst", "dst").alias("dst")).where("src < dst").distinct()
+    return nodes, e
+
+
+def load_many(files: DataFrame) -> DataFrame:
+    """Trees (file, id, parent, ...) under one numbering: ids of a file are moved past the largest
+    of the files before it, in file order; adds root, by which trees are split again."""
+    top = files.groupBy("file").agg(F.max("id").alias("most"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    shift = top.select("file", F.coalesce(F.sum("most").over(before), F.lit(0)).alias("shift"))
+    out = materialise(files.join(F.broadcast(shift), "file").withColumns({"id": F.col("id") + F.col("shift"), "parent": F.col("parent") + F.col("shift")}).drop("shift"))
+    return out.join(climb(out.select("id", F.col("parent").alias("up"))).select("id", F.col("top").alias("root")), "id")

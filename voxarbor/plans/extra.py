@@ -101,15 +101,13 @@ def mesh_edges(spark, sf):
 @register("mesh_lines")
 def mesh_lines(spark, sf):
     """OBJ lines of the mask's surface, vertices numbered in order of their keys."""
-    from pyspark.sql import Window
-
     q = grid.materialise(grid.quads(fx.mask(spark, sf, 49)))
-    corners = q.select(F.explode("v").alias("key")).distinct().withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")) - 1)
+    corners = tables.numbered(q.select(F.explode("v").alias("key")).distinct(), "key")
     at = lambda s: (F.shiftright("key", s).bitwiseAND((1 << 21) - 1) - (1 << 20)).cast("double")
     verts = corners.select("idx", at(0).alias("x"), at(21).alias("y"), at(42).alias("z"))
     f = q.select("x", "y", "z", "dx", "dy", "dz", F.posexplode("v").alias("k", "key")).join(corners, "key")
     f = f.groupBy("x", "y", "z", "dx", "dy", "dz").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "idx"))), lambda s: s.idx).alias("v"))
-    f = f.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("z", "y", "x", "dx", "dy", "dz")) - 1)
+    f = tables.numbered(f, "z", "y", "x", "dx", "dy", "dz")
     return exports.obj_lines(verts, f.select("idx", "v"))
 
 

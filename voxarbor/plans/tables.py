@@ -188,7 +188,7 @@ def cluster_parse(spark, sf):
 def merge_annotations(spark, sf):
     s = fx.seeds(spark, sf)
     u = s.where("seed_id % 2 = 0").select(*XYZ).unionByName(s.where("seed_id % 3 = 0").select(*XYZ)).distinct()
-    return u.withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*XYZ)) - 1).cast("long"))
+    return tables.numbered(u, *XYZ)
 
 
 @register("box_algebra", f"WITH {SEEDS} SELECT z % 4 AS grp, min(x) AS min_x, max(x + radius) AS max_x, min(y) AS min_y, max(y + radius) AS max_y, greatest(max(x), 8) AS clip_lo, least(max(x + radius), 40) AS clip_hi, CAST((max(x + radius) - min(x)) * (max(y + radius) - min(y)) AS BIGINT) AS area FROM s GROUP BY 1")
@@ -278,9 +278,9 @@ def compare_trees(spark, sf):
     return j.agg(F.count_if(na & nb).alias("matches"), F.count_if(na & ~nb).alias("missed"), F.count_if(nb & ~na).alias("spurious"), F.sum(F.when(nb, F.col("nb") - 1).otherwise(0)).alias("duplicates"))
 
 
-@register("cut_subvolumes", f"WITH {IMG}, {SEEDS}, b AS (SELECT seed_id, least(greatest(x - 8, 0), 48) AS x0, least(greatest(y - 8, 0), 48) AS y0, z FROM s WHERE seed_id % 10 = 0) SELECT seed_id, i.x - x0 AS x, i.y - y0 AS y, i.z, i.v FROM b JOIN img i ON i.z = b.z AND i.x >= x0 AND i.x < x0 + 16 AND i.y >= y0 AND i.y < y0 + 16")
+@register("cut_subvolumes", f"WITH {IMG}, {SEEDS}, b AS (SELECT seed_id, least(greatest(x - 8, 0), 48) AS x0, least(greatest(y - 8, 0), 48) AS y0, z FROM s) SELECT seed_id, i.x - x0 AS x, i.y - y0 AS y, i.z, i.v FROM b JOIN img i ON i.z = b.z AND i.x >= x0 AND i.x < x0 + 16 AND i.y >= y0 AND i.y < y0 + 16")
 def cut_subvolumes(spark, sf):
-    s = fx.seeds(spark, sf).where("seed_id % 10 = 0")
+    s = fx.seeds(spark, sf)
     low = lambda a: F.least(F.greatest(F.col(a) - 8, F.lit(0)), F.lit(48))
     side = F.sequence(F.lit(0), F.lit(15))
     cells = s.select("seed_id", "z", low("x").alias("x0"), low("y").alias("y0"), F.explode(side).alias("i")).withColumn("j", F.explode(side))

@@ -190,10 +190,10 @@ def depth_first_order(spark, sf):
     return trees.depth_first(fx.tree(spark, sf))
 
 
-@register("multi_source_levels", f"WITH RECURSIVE {TREE}, {_NB}, r(id, level) AS (SELECT id, 0 FROM t WHERE id % 97 = 0 UNION SELECT v, level + 1 FROM r JOIN nb ON nb.u = r.id WHERE level < 12) SELECT id, min(level) AS level FROM r GROUP BY id")
+@register("multi_source_levels", f"WITH RECURSIVE {TREE}, {_NB}, r(id, level) AS (SELECT id, 0 FROM t WHERE id % 97 = 0 UNION SELECT v, level + 1 FROM r JOIN nb ON nb.u = r.id WHERE level < 64) SELECT id, min(level) AS level FROM r GROUP BY id")
 def multi_source_levels(spark, sf):
     t = fx.tree(spark, sf)
-    return graph.levels(t.where("id % 97 = 0").select("id"), trees.undirected(t), limit=12)
+    return graph.levels(t.where("id % 97 = 0").select("id"), trees.undirected(t))
 
 
 @register("tree_affine", f"""WITH {TREE} SELECT id + 1000 AS id, parent + 1000 AS parent, CASE WHEN parent IS NULL THEN 1 ELSE 3 END AS type, round((x + 5) * 2, 6) AS x, round((y - 3) * 0.5, 6) AS y, round(z * 1.5, 6) AS z, round(radius * 0.4, 5) AS radius,
@@ -219,11 +219,11 @@ def window_to_global(spark, sf):
     return g.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*XYZ)) - 1)
 
 
-@register("same_neighbour_lists", f"WITH {TREE}, {_NB}, l AS (SELECT u AS id, array_to_string(list_sort(list(v)), ',') AS nbrs FROM nb GROUP BY u) SELECT x, y, z, nbrs, count(*) AS n, min(id) AS first_id FROM t JOIN l USING (id) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 1 AND min(id) % 5 = 0")
+@register("same_neighbour_lists", f"WITH {TREE}, {_NB}, l AS (SELECT u AS id, array_to_string(list_sort(list(v)), ',') AS nbrs FROM nb GROUP BY u) SELECT x, y, z, nbrs, count(*) AS n, min(id) AS first_id FROM t JOIN l USING (id) GROUP BY 1, 2, 3, 4")
 def same_neighbour_lists(spark, sf):
     t = fx.tree(spark, sf)
     nb = trees.undirected(t).groupBy(F.col("src").alias("id")).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("dst")), lambda i: i.cast("string"))).alias("nbrs"))
-    return t.join(nb, "id").groupBy(*XYZ, "nbrs").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("first_id % 5 = 0")
+    return t.join(nb, "id").groupBy(*XYZ, "nbrs").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @register("prune_flags", f"WITH {TREE} SELECT t.id, coalesce((p.x - t.x) + (p.y - t.y) + (p.z - t.z) < 60, FALSE) OR t.radius < 2 AS tombstone FROM t LEFT JOIN t p ON p.id = t.parent")

@@ -257,9 +257,9 @@ def seed_reachable(spark, sf):
 
 
 @register("reach_levels", f"""WITH RECURSIVE {IMG}, {mask_sql(40)}, {SEEDS}, {K6}, f(x, y, z, level) AS (SELECT m.x, m.y, m.z, 0 FROM m SEMI JOIN s USING (x, y, z)
-  UNION SELECT m.x, m.y, m.z, level + 1 FROM f, k6 JOIN m ON m.x = f.x + dx AND m.y = f.y + dy AND m.z = f.z + dz WHERE level < 6) SELECT x, y, z, min(level) AS level FROM f GROUP BY ALL""")
+  UNION SELECT m.x, m.y, m.z, level + 1 FROM f, k6 JOIN m ON m.x = f.x + dx AND m.y = f.y + dy AND m.z = f.z + dz WHERE level < 64) SELECT x, y, z, min(level) AS level FROM f GROUP BY ALL""")
 def reach_levels(spark, sf):
-    return grid.reachable(fx.mask(spark, sf, 40), fx.seeds(spark, sf), limit=6)
+    return grid.reachable(fx.mask(spark, sf, 40), fx.seeds(spark, sf))
 
 
 @register("surface_depth", f"""WITH {IMG}, {mask_sql(3)}, {K6}, {_erode_sql('m', 'e1')}, {_erode_sql('e1', 'e2')}, {_erode_sql('e2', 'e3')}
@@ -348,7 +348,7 @@ def mask_intersection(spark, sf):
 @register("mask_difference", f"WITH {_AB} SELECT * FROM a EXCEPT SELECT * FROM b")
 def mask_difference(spark, sf):
     a, b = _ab(spark, sf)
-    return a.exceptAll(b).distinct()
+    return a.subtract(b)
 
 
 @register("grid_sum", f"""WITH {IMG}, a AS (SELECT * FROM img WHERE z < 20), b AS (SELECT * FROM img WHERE z > 10)

@@ -52,6 +52,8 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 256:
             entries, width, before = list(table), 9, None
             continue
+        if code > len(entries) or (code >= 256 and before is None):
+            raise ValueError(f"not an LZW stream: code {code} after {len(out)} entries")
         entry = entries[code] if code < len(entries) else before + before[:1]
         out.append(entry)
         if before is not None:
