@@ -38,7 +38,7 @@ from .common import materialise, maybe_among, pieces, worker_state
 GRAM = 6
 #: Texts that share an anchor beyond this number make it a shard of its own.
 FREQUENT = 1000
-#: Runs beyond this number make an anchor several shards, by the hash of each window.
+#: Texts beyond this number make an anchor several shards, by the hash of each window.
 SPLIT = 4096
 #: Digests of texts that a task remembers; bytes of text laid end to end.
 SEEN, PIECE = 300_000, 1_000_000
@@ -338,7 +338,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     hot = F.col("n") > FREQUENT
     # Written out, so that the join below is one of two plain exchanges and Spark can split
     # the rows of a frequent anchor among tasks.
-    shards = F.when(hot, F.ceil(F.col("n") / SPLIT)).otherwise(0).cast("int")  # 0: shared with other anchors
+    # 0: a shard shared with other anchors, 1: one of its own, more: SPLIT windows or so in each
+    many = F.when(F.col("n") > SPLIT, F.ceil(F.col("n") * (window - GRAM + 1) / SPLIT)).otherwise(1)
+    shards = F.when(hot, many).otherwise(0).cast("int")
     shared = materialise(shared.select("h", F.when(hot, F.col("h")).otherwise(F.col("lo")).alias("key"), shards.alias("shards")))
     by_text = anchors.join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "key", "shards")).alias("anchors"))
     reps = ids.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
