@@ -84,6 +84,88 @@ def test_mean_shift_moves_to_the_mean(spark):
     assert got[3] == 50 and abs(got[1] - got[2]) <= 2
 
 
+def test_mean_shift_leaves_somas_and_averages_radii(spark):
+    rows = [(1, 1, 0.0, 2.0, 0.0, 5.0), (2, 3, 0.0, 1.0, 0.0, 4.0), (3, 3, 0.0, 3.0, 0.0, 3.0)]
+    n = spark.createDataFrame(rows, "id long, type int, x double, y double, z double, radius double")
+    got = {r.id: r for r in tracing.mean_shift(n, 10.0, rounds=1, factor=1.0, fixed=F.col("type") == 1).collect()}
+    assert (got[1].y, got[1].radius) == (2.0, 5.0)
+    assert (got[2].x, got[2].y, got[2].z, got[2].radius) == (0.0, 2.0, 0.0, 4.0)
+
+
+def test_march_crosses_blocks(spark):
+    """Against Dijkstra on a sparse volume that lies in eight blocks, negative places included."""
+    rng = random.Random(8)
+    cells = {(x, y, z): rng.randint(1, 9) for x in range(25, 40) for y in range(-6, 7) for z in range(60, 68) if rng.random() < 0.55}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "x int, y int, z int, v int")
+    for near in (6, 26):
+        starts = sorted(cells)[:1] + sorted(cells)[-2:]
+        cost, heap = {s: 0.0 for s in starts}, [(0.0, s) for s in starts]
+        while heap:
+            d, p = heapq.heappop(heap)
+            if d > cost[p]:
+                continue
+            for o in grid.stencil(near):
+                q = tuple(a + b for a, b in zip(p, o, strict=True))
+                n = d + (cells[p] + cells.get(q, math.inf)) / 2 * math.sqrt(sum(c * c for c in o))
+                if n < cost.get(q, math.inf) - 1e-12:
+                    cost[q] = n
+                    heapq.heappush(heap, (n, q))
+        found = tracing.march(df, spark.createDataFrame([*starts, (0, 0, 0)], "x int, y int, z int"), F.col("v"), near)
+        keys = grid.keyed(df).collect()
+        place, got = {r.id: (r.x, r.y, r.z) for r in keys}, {r.id: r for r in found.collect()}
+        assert {place[i]: round(r.cost, 9) for i, r in got.items()} == {k: round(v, 9) for k, v in cost.items()}
+        for i, r in got.items():
+            if r.parent is None:
+                assert place[i] in starts
+                continue
+            a, b = place[r.parent], place[i]
+            assert abs(cost[a] + (cells[a] + cells[b]) / 2 * math.dist(a, b) - r.cost) < 1e-9
+
+
+def test_cover_prune_equals_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(g, g * 1000 + i, rng.random() < 0.03, *(rng.uniform(-9, 9) for _ in XYZ), rng.choice([0.0, 0.5, 1.0, 2.5])) for g in range(3) for i in range(150)]
+    want = {}
+    for g in range(3):
+        left = sorted((r for r in rows if r[0] == g), key=lambda r: (not r[2], -r[6], r[1]))
+        while left:
+            top = left[0]
+            held = [r for r in left if r is top or math.dist(r[3:6], top[3:6]) <= top[6] * 1.5]
+            want |= {r[1]: top[1] for r in held}
+            left = [r for r in left if r not in held]
+    df = spark.createDataFrame(rows, "g long, id long, soma boolean, x double, y double, z double, radius double")
+    covered = tracing.cover_prune(df, "g", 1.5, F.col("soma"))
+    assert {r.id: r.kept_by for r in covered.collect()} == want
+    groups = {r.id: r for r in tracing.cover_groups(df, covered, F.col("soma")).collect()}
+    for r in (r for r in rows if want[r[1]] == r[1]):
+        held = [q for q in rows if want[q[1]] == r[1]]
+        assert groups[r[1]].members == len(held)
+        assert abs(groups[r[1]].x - (r[3] if r[2] else sum(q[3] for q in held) / len(held))) < 1e-9
+
+
+def test_folds_below_and_preorder(spark):
+    """A forest of two chains with bushes, deeper than any power of two in reach."""
+    rng, rows = random.Random(6), []
+    for first, n in ((1, 150), (200, 40)):
+        rows += [(first + i, None if i == 0 else first + (i - 1 if rng.random() < 0.8 else rng.randrange(i))) for i in range(n)]
+    kids = {}
+    for i, p in rows:
+        kids.setdefault(p, []).append(i)
+    order, todo = {}, sorted(kids[None], reverse=True)
+    while todo:
+        order[i := todo.pop()] = len(order)
+        todo += sorted(kids.get(i, []), reverse=True)
+    t = spark.createDataFrame(rows, "id long, parent long")
+    assert {r.id: r.position for r in trees.depth_first(t).collect()} == order
+    size = {}
+    for i in sorted(order, key=order.get, reverse=True):
+        size[i] = 1 + sum(size[k] for k in kids.get(i, []))
+    got = trees.below(t.selectExpr("id", "1L AS n", "id AS most"), t, n=F.sum, most=F.max).collect()
+    assert {r.id: r.n for r in got} == size
+    with pytest.raises(ValueError, match="circle"):
+        trees.below(spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1)], "id long, parent long, n long"), spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long"), n=F.sum)
+
+
 def test_within_equals_all_pairs(spark):
     rng = random.Random(5)
     pts = [(i, *(rng.uniform(-20, 20) for _ in range(3))) for i in range(60)]

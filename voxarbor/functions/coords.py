@@ -49,13 +49,6 @@ def offsets(cells: list[tuple[int, int, int]]) -> Column:
     return F.array(*map(make, cells))
 
 
-def box_offsets(n: Column) -> Column:
-    """The same for a cube whose half side is a column."""
-    side = F.sequence(-n, n)
-    return F.flatten(F.transform(side, lambda a: F.flatten(F.transform(side, lambda b: F.transform(
-        side, lambda c: F.struct(a.alias("dx"), b.alias("dy"), c.alias("dz")))))))
-
-
 def flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(1 << bit) != 0
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxarbor.functions.coords import FACE6, box_offsets, offsets
+from voxarbor.functions.coords import FACE6, offsets
 from voxarbor.functions.storage import materialise, release
 
 from . import graph
@@ -69,6 +69,11 @@ def key(x: Column, y: Column, z: Column) -> Column:
     return k + F.shiftleft(y.cast("long") + _OFF, _BITS) + (x.cast("long") + _OFF)
 
 
+def key_of(x, y, z):
+    """The same key of numpy integers."""
+    return ((z + _OFF) << 2 * _BITS) + ((y + _OFF) << _BITS) + (x + _OFF)
+
+
 def keyed(mask: DataFrame) -> DataFrame:
     return mask.withColumn("id", key(*(F.col(a) for a in XYZ)))
 
@@ -203,12 +208,23 @@ def depth_from_surface(mask: DataFrame) -> DataFrame:
 
 
 def balls(centres: DataFrame, radius: str = "radius") -> DataFrame:
-    """centre columns plus the voxels (vx, vy, vz) in each ball of its radius."""
-    n = F.floor(F.col(radius)).cast("int")
-    spread = centres.withColumn("_d", F.explode(box_offsets(n)))
-    d = [F.col(f"_d.d{a}") for a in XYZ]
-    inside = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= F.col(radius) * F.col(radius)
-    return spread.where(inside).select(*centres.columns, *((F.col(a) + x).alias(f"v{a}") for a, x in zip(XYZ, d, strict=True)))
+    """centre columns plus the voxels (vx, vy, vz) in each ball of its radius; each axis is
+    spread over what the ones before have left of the squared radius."""
+    out, left = centres, F.col(radius) * F.col(radius)
+    for a in XYZ:
+        n = F.floor(F.sqrt(F.greatest(left, F.lit(0)).cast("double"))).cast("int")
+        out = out.withColumn(f"_{a}", F.explode(F.sequence(-n, n)))
+        left = left - F.col(f"_{a}") * F.col(f"_{a}")
+    return out.where(left >= 0).select(*centres.columns, *((F.col(a) + F.col(f"_{a}")).alias(f"v{a}") for a in XYZ))
+
+
+def boxes(centres: DataFrame, half: Column) -> DataFrame:
+    """centre columns plus the voxels (vx, vy, vz) of the cube of that half side around each,
+    one axis after the other."""
+    out = centres.withColumn("_n", half.cast("int"))
+    for a in XYZ:
+        out = out.withColumn("_d", F.explode(F.sequence(-F.col("_n"), F.col("_n")))).withColumn(f"v{a}", F.col(a) + F.col("_d"))
+    return out.drop("_n", "_d")
 
 
 def fill_balls(mask: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -8,33 +8,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxarbor.functions.coords import offsets
-from voxarbor.functions.storage import materialise
+from voxarbor.functions.storage import materialise, release
 
 from . import graph, grid, matching, trees
 
 XYZ = ("x", "y", "z")
 
 
+def _settle(connectivity: int):
+    """The function that settles one block: its voxels take what arrives and offer it on, all
+    cells that fell at once, until none falls any more."""
+    cells, size = np.array(grid.stencil(connectivity)), grid.LEVEL_BLOCK
+    side, lengths = size + 2, np.sqrt((cells * cells).sum(1))  # an empty rim all around
+    steps = (cells[:, 0] * side + cells[:, 1]) * side + cells[:, 2]
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        base = [size * int(pdf[f"b{a}"].iloc[0]) - 1 for a in XYZ]
+        at = [pdf[a].to_numpy(np.int64) - b for a, b in zip(XYZ, base, strict=True)]
+        cell, new = (at[0] * side + at[1]) * side + at[2], pdf.arrives.to_numpy()
+        own = cell[~new]
+        w, cost, parent = np.full(side**3, np.nan), np.full(side**3, np.inf), np.full(side**3, -1)
+        w[own], cost[own], parent[own] = pdf.w[~new], pdf.cost[~new], pdf.parent[~new]
+        before = cost[own]
+        to, offer, src = cell[new], pdf.cost.to_numpy()[new], pdf.parent.to_numpy()[new]
+        while len(to):
+            order = np.lexsort((src, offer, to))
+            to, offer, src = to[order], offer[order], src[order]
+            take = np.append(True, to[1:] != to[:-1]) & (offer < cost[to] - 1e-12)
+            to, offer, src = to[take], offer[take], src[take]
+            cost[to], parent[to] = offer, src
+            x, y, z = to // (side * side) + base[0], to // side % side + base[1], to % side + base[2]
+            near = to[:, None] + steps
+            give = offer[:, None] + (w[to][:, None] + w[near]) / 2 * lengths
+            falls = give < cost[near] - 1e-12  # false beyond the block and where no voxel is
+            src = np.broadcast_to(grid.key_of(x, y, z)[:, None], near.shape)[falls]
+            to, offer = near[falls], give[falls]
+        out = pdf.loc[~new, [*XYZ, "bx", "by", "bz", "w"]].copy()
+        out["cost"], out["parent"], out["changed"] = cost[own], parent[own], cost[own] < before
+        return out
+
+    return settle
+
+
 def march(voxels: DataFrame, seeds: DataFrame, weight, connectivity: int = 6) -> DataFrame:
     """(id, cost, parent): cheapest path cost from any seed over active voxels; a step costs the
-    mean weight of its ends times its length.  Relaxation to a fixpoint: each round offers
-    the costs that fell in the round before, and a voxel keeps its smallest offer."""
-    v = materialise(grid.keyed(voxels).withColumn("w", weight))
-    cells = grid.stencil(connectivity)
-    spread = v.select(F.col("id").alias("src"), F.col("w").alias("ws"), *XYZ, F.explode(offsets(cells)).alias("d"))
-    step = F.sqrt((F.col("d.dx") * F.col("d.dx") + F.col("d.dy") * F.col("d.dy") + F.col("d.dz") * F.col("d.dz")).cast("double"))
-    moved = spread.select("src", "ws", step.alias("step"), grid.key(*(F.col(a) + F.col(f"d.d{a}") for a in XYZ)).alias("dst"))
-    edges = materialise(moved.join(v.select(F.col("id").alias("dst"), F.col("w").alias("wd")), "dst").select("src", "dst", ((F.col("ws") + F.col("wd")) / 2 * F.col("step")).alias("c")))
-    best = materialise(v.join(seeds.select(*XYZ).distinct(), list(XYZ), "left_semi").select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent")))
-    changed = best
-    while not changed.isEmpty():
-        offers = changed.join(edges, changed.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("parent"))).alias("o"))
-        offers = offers.select("id", F.col("o.cost").alias("n_cost"), F.col("o.parent").alias("n_parent"))
-        both = best.join(offers, "id", "full")
-        better = F.col("n_cost").isNotNull() & (F.col("cost").isNull() | (F.col("n_cost") < F.col("cost") - 1e-12))
-        now = materialise(both.select("id", F.when(better, F.col("n_cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("n_parent")).otherwise(F.col("parent")).alias("parent"), better.alias("changed")))
-        best, changed = now.drop("changed"), now.where("changed").select("id", "cost", "parent")
-    return best
+    mean weight of its ends times its length.  Blocks settle in one task each, and a round
+    exchanges the offers that cross a face, an edge or a corner: rounds follow the blocks on
+    a path, not its steps."""
+    block = {f"b{a}": F.floor(F.col(a) / grid.LEVEL_BLOCK).cast("int") for a in XYZ}
+    by, far, none = list(block), F.lit(float("inf")), F.lit(-1).cast("long")
+    columns = [*XYZ, *by, "w", "cost", "parent"]
+    schema = ", ".join(f"{c} int" for c in (*XYZ, *by)) + ", w double, cost double, parent long, changed boolean"
+    v = voxels.select(*(F.col(a).cast("int").alias(a) for a in XYZ), weight.cast("double").alias("w"))
+    state = materialise(v.withColumns({**block, "cost": far, "parent": none}).select(*columns))
+    start = seeds.select(*XYZ).distinct()
+    arrivals = materialise(state.join(start, list(XYZ), "left_semi").withColumn("cost", F.lit(0.0)).select(*columns))
+    while not arrivals.isEmpty():
+        active = arrivals.select(*by).distinct()
+        work = state.join(active, by, "left_semi").withColumn("arrives", F.lit(False))
+        work = work.unionByName(arrivals.withColumn("arrives", F.lit(True)))
+        done = materialise(work.groupBy(*by).applyInPandas(_settle(connectivity), schema))
+        before, state = state, materialise(state.join(active, by, "left_anti").select(*columns).unionByName(done.select(*columns)))
+        rim = F.lit(False)
+        for a in XYZ:
+            rim = rim | F.pmod(F.col(a), F.lit(grid.LEVEL_BLOCK)).isin(0, grid.LEVEL_BLOCK - 1)
+        out = done.where("changed").where(rim).withColumn("d", F.explode(offsets(grid.stencil(connectivity))))
+        length = F.sqrt(sum(F.col(f"d.d{a}") * F.col(f"d.d{a}") for a in XYZ).cast("double"))
+        out = out.select(
+            *((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ), *(F.col(f"b{a}").alias(f"o{a}") for a in XYZ),
+            F.col("w").alias("ow"), F.col("cost").alias("o"), grid.key(*(F.col(a) for a in XYZ)).alias("src"), length.alias("length"))
+        other = F.lit(False)
+        for a in XYZ:
+            other = other | (F.floor(F.col(a) / grid.LEVEL_BLOCK) != F.col(f"o{a}"))
+        offer = out.where(other).join(state, list(XYZ)).withColumn("o", F.col("o") + (F.col("ow") + F.col("w")) / 2 * F.col("length"))
+        offer = offer.where(F.col("o") < F.col("cost") - 1e-12).groupBy(*XYZ, *by).agg(F.min(F.struct("o", "src")).alias("o"))
+        nxt = materialise(offer.select(*XYZ, *by, F.lit(0.0).alias("w"), F.col("o.o").alias("cost"), F.col("o.src").alias("parent")))
+        release(before, done, arrivals)
+        arrivals = nxt
+    return state.where(F.col("cost") < far).select(
+        grid.key(*(F.col(a) for a in XYZ)).alias("id"), "cost", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
 
 
 def shell_radius(mask: DataFrame, nodes: DataFrame, most: int, background: float, plane: bool = False) -> DataFrame:
@@ -84,12 +136,9 @@ def skeleton(mask: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
 def segments(tree: DataFrame) -> DataFrame:
     """(id, owner): the leaf farthest below each node by path length (ties: smallest id) owns
     it; nodes of one owner are a segment."""
-    up = materialise(trees.ancestors(tree.select("id", "parent")))
-    length = materialise(trees.roots(tree).select("id", "length"))
     leaves = trees.with_children(tree).where("children = 0").select("id")
-    far = up.join(leaves, "id", "left_semi").join(length, "id").groupBy(F.col("top").alias("node"))
-    far = far.agg(F.max_by("id", F.struct(F.round("length", 9), -F.col("id"))).alias("owner"))
-    return far.select(F.col("node").alias("id"), "owner")
+    far = trees.roots(tree).join(leaves, "id").select("id", F.struct(F.round("length", 9), -F.col("id"), "id").alias("far"))
+    return trees.below(far, tree, far=F.max).select("id", F.col("far.id").alias("owner"))
 
 
 def segment_table(tree: DataFrame) -> DataFrame:
@@ -152,40 +201,78 @@ def merge_in_balls(tree: DataFrame, seeds: DataFrame, reach: float) -> tuple[Dat
     return into, e
 
 
-def mean_shift(nodes: DataFrame, reach: float, rounds: int = 4, stop: float = 0.5) -> DataFrame:
-    """(id, x, y, z): each node moves to the mean of the original nodes in reach, its own
-    position counted twice, until its squared shift is at most `stop`."""
-    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ)))
-    now = base.withColumn("done", F.lit(False))
+def mean_shift(nodes: DataFrame, reach: float, rounds: int = 4, stop: float = 0.5, factor: float | None = None, fixed=None) -> DataFrame:
+    """(id, x, y, z, radius): each node moves to the mean of the original nodes in reach, its
+    own position counted twice, until its squared shift is at most `stop`; radii are averaged
+    likewise.  With a factor a node's reach is its radius times that, `reach` at most.  Nodes
+    for which the condition `fixed` holds (somas) stay as they are."""
+    cols = [*XYZ, "radius"]
+    still = F.lit(False) if fixed is None else F.coalesce(fixed, F.lit(False))
+    radius = F.col("radius").cast("double") if "radius" in nodes.columns else F.lit(None).cast("double")
+    limit = F.lit(float(reach)) if factor is None else F.least(radius * factor, F.lit(float(reach)))
+    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ), radius.alias("radius"), limit.alias("limit"), still.alias("done")))
+    own = base.select(F.col("id").alias("b"), *(F.col(c).alias(f"o{c}") for c in cols))
+    now = base
     for _ in range(rounds):
         moving = now.where("NOT done")
-        pairs = matching.within(moving.select(F.col("id").alias("a"), *XYZ), base.select(F.col("id").alias("b"), *XYZ), reach)
-        own = base.select(F.col("id").alias("b"), *(F.col(a).alias(f"o{a}") for a in XYZ))
-        m = pairs.join(own, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{a}").alias(f"s{a}") for a in XYZ))
-        at = {a: (F.coalesce(f"s{a}", F.lit(0.0)) + F.col(a)) / (F.coalesce("n", F.lit(0)) + 1) for a in XYZ}
-        j = moving.join(m, moving.id == m.a, "left").select("id", *XYZ, *(e.alias(f"m{a}") for a, e in at.items()))
+        pairs = matching.within(moving.select(F.col("id").alias("a"), *XYZ), base.select(F.col("id").alias("b"), *XYZ), reach).select("a", "b")
+        at = pairs.join(own, "b").join(moving, F.col("a") == moving.id)
+        apart = sum((F.col(f"o{c}") - F.col(c)) * (F.col(f"o{c}") - F.col(c)) for c in XYZ)
+        m = at.where(apart <= F.col("limit") * F.col("limit")).groupBy("a").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{c}").alias(f"s{c}") for c in cols))
+        mean = [((F.coalesce(f"s{c}", F.lit(0.0)) + F.col(c)) / (F.coalesce("n", F.lit(0)) + 1)).alias(f"m{c}") for c in cols]
+        j = moving.join(m, moving.id == m.a, "left").select("id", "limit", *XYZ, *mean)
         d2 = sum((F.col(f"m{a}") - F.col(a)) * (F.col(f"m{a}") - F.col(a)) for a in XYZ)
-        now = materialise(now.where("done").unionByName(j.select("id", *(F.col(f"m{a}").alias(a) for a in XYZ), (d2 <= stop).alias("done"))))
-    return now.select("id", *(F.round(a).alias(a) for a in XYZ))
+        moved = j.select("id", *(F.col(f"m{c}").alias(c) for c in cols), "limit", (d2 <= stop).alias("done"))
+        before, now = now, materialise(now.where("done").unionByName(moved))
+        if before is not base:
+            release(before)
+    return now.select("id", *(F.round(a).alias(a) for a in XYZ), "radius")
 
 
-def cover_prune(nodes: DataFrame, group: str, factor: float = 1.0) -> DataFrame:
-    """Greedy sphere grouping per group: by falling radius (then id) a node is kept unless a
-    kept node's ball of radius * factor holds it: (group, id, kept_by).  A group is a
-    component of one tree; it is processed by one task."""
+def cover_prune(nodes: DataFrame, group: str, factor: float = 1.0, first=None) -> DataFrame:
+    """Greedy sphere grouping per group: those for which `first` holds (somas), then by falling
+    radius (then id), a node is kept unless a kept node's ball of radius * factor holds it:
+    (group, id, kept_by).  A group is a component of one tree; one task looks through it by
+    cells of the largest ball, so that a kept node meets those near it only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["radius", "id"], ascending=[False, True], ignore_index=True)
-        p, r, free = pdf[["x", "y", "z"]].to_numpy(float), pdf.radius.to_numpy(float) * factor, np.ones(len(pdf), bool)
-        by = pdf.id.to_numpy().copy()
+        pdf = pdf.sort_values(["lead", "radius", "id"], ascending=[False, False, True], ignore_index=True)
+        p, r = pdf[list(XYZ)].to_numpy(float), pdf.radius.to_numpy(float) * factor
+        free, by = np.ones(len(pdf), bool), pdf.id.to_numpy().copy()
+        edge = max(float(r.max()), 1e-9)
+        cells: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, np.floor(p / edge).astype(np.int64).tolist())):
+            cells.setdefault(c, []).append(i)
+        span = (-1, 0, 1)
         for i in range(len(pdf)):
-            if free[i]:
-                near = free & (((p - p[i]) ** 2).sum(1) <= r[i] * r[i])
-                free &= ~near
-                by[near] = pdf.id[i]
+            if not free[i]:
+                continue
+            free[i] = False
+            x, y, z = np.floor(p[i] / edge).astype(np.int64).tolist()
+            for c in ((x + a, y + b, z + d) for a in span for b in span for d in span):
+                if c not in cells:
+                    continue
+                here = np.array(cells[c], dtype=np.int64)
+                here = here[free[here]]
+                inside = ((p[here] - p[i]) ** 2).sum(1) <= r[i] * r[i]
+                free[here[inside]] = False
+                by[here[inside]] = pdf.id[i]
+                if inside.any() or not len(here):
+                    cells[c] = here[~inside].tolist()
         return pd.DataFrame({group: pdf[group], "id": pdf.id, "kept_by": by})
 
-    return nodes.select(group, "id", *XYZ, "radius").groupBy(group).applyInPandas(run, f"{group} long, id long, kept_by long")
+    lead = F.lit(False) if first is None else F.coalesce(first, F.lit(False))
+    return nodes.select(group, "id", *XYZ, "radius", lead.alias("lead")).groupBy(group).applyInPandas(run, f"{group} long, id long, kept_by long")
+
+
+def cover_groups(nodes: DataFrame, covered: DataFrame, fixed=None) -> DataFrame:
+    """(id, members, x, y, z, radius): each kept node at the mean of those it covers, with their
+    mean radius; nodes for which `fixed` holds keep their own place and radius."""
+    cols = [*XYZ, "radius"]
+    mean = nodes.join(covered.select("id", "kept_by"), "id").groupBy("kept_by").agg(F.count(F.lit(1)).alias("members"), *(F.avg(c).alias(f"m{c}") for c in cols))
+    still = F.lit(False) if fixed is None else F.coalesce(fixed, F.lit(False))
+    kept = nodes.join(mean, nodes.id == F.col("kept_by"))
+    return kept.select("id", "members", *(F.when(still, F.col(c)).otherwise(F.col(f"m{c}")).alias(c) for c in cols))
 
 
 def assign_somas(tree: DataFrame, somas: DataFrame, cost) -> DataFrame:

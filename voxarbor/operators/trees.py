@@ -168,27 +168,37 @@ def standard_ids(tree: DataFrame, key: str = "tree") -> DataFrame:
     return new.join(p, (new[key] == p.k) & (new.parent == p.p), "left").select(key, F.col("id").alias("old"), F.col("new").alias("id"), F.col("p_new").alias("parent"))
 
 
+def below(values: DataFrame, tree: DataFrame, **folds) -> DataFrame:
+    """(id, folds): values(id, ...) folded over each node and all nodes below it, by functions
+    such as F.max or F.sum.  Rounds double the reach: after the k-th a row holds the nodes
+    less than 2^k hops below it, so a round has a row a node whatever the tree's depth."""
+    now = materialise(values.select("id", *folds))
+    jump = materialise(tree.where("parent IS NOT NULL").select(F.col("id").alias("j"), F.col("parent").alias("to")))
+    most, reach = jump.count(), 1
+    while not jump.isEmpty():
+        if reach > 2 * most:
+            raise ValueError(f"the parents of node {jump.first().j} form a circle")
+        given = now.join(jump, now.id == jump.j).select(F.col("to").alias("id"), *folds)
+        nxt = materialise(now.unionByName(given).groupBy("id").agg(*(f(c).alias(c) for c, f in folds.items())))
+        far = jump.select(F.col("j").alias("j2"), F.col("to").alias("to2"))
+        farther = materialise(jump.join(far, jump["to"] == far.j2).select("j", F.col("to2").alias("to")))
+        release(now, jump)
+        now, jump, reach = nxt, farther, 2 * reach
+    return now
+
+
 def depth_first(tree: DataFrame) -> DataFrame:
-    """(id, position): pre-order, children by id.  A subtree's size is found by counting its
-    nodes at each ancestor; a node's position follows from the sizes before it."""
+    """(id, position): pre-order, children by id; trees follow each other by root.  A node
+    comes after its parent and its elder siblings' subtrees, which add up along the walk to
+    the root."""
     d = materialise(tree.select("id", "parent"))
-    pairs = ancestors(d)
-    size = pairs.groupBy(F.col("top").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    size = below(d.withColumn("size", F.lit(1).cast("long")), d, size=F.sum)
     w = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    own = d.join(size, "id").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)) + F.when(F.col("parent").isNull(), 0).otherwise(1))
-    return pairs.join(own.select(F.col("id").alias("top"), "before"), "top").groupBy("id").agg(F.sum("before").alias("position"))
-
-
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(id, top): every node with itself and each of its ancestors, by doubling."""
-    now = materialise(tree.select("id", F.col("id").alias("top")))
-    jump = materialise(tree.where("parent IS NOT NULL").select(F.col("id").alias("j"), F.col("parent").alias("up_to")))
-    while not jump.isEmpty():
-        more = now.join(jump, now.top == jump.j).select("id", F.col("up_to").alias("top"))
-        now = materialise(now.unionByName(more))
-        far = jump.select(F.col("j").alias("j2"), F.col("up_to").alias("to2"))
-        jump = materialise(jump.join(far, jump.up_to == far.j2).select("j", F.col("to2").alias("up_to")))
-    return now
+    elder = F.coalesce(F.sum("size").over(w), F.lit(0))
+    own = materialise(d.join(size, "id").withColumn("before", elder + F.when(F.col("parent").isNull(), 0).otherwise(1)))
+    first = own.where("parent IS NULL").select(F.col("id").alias("top"), F.col("before").alias("first"))
+    walked = climb(own.select("id", F.col("parent").alias("up"), "before"), ("before",))
+    return walked.join(first, "top").select("id", (F.col("before") + F.col("first")).alias("position"))
 
 
 def leaf_branches(tree: DataFrame) -> DataFrame:

@@ -297,17 +297,14 @@ def seed_on_mask(spark, sf):
 
 @register("clip_by_seeds", f"WITH {IMG}, {mask_sql(40)}, {SEEDS} SELECT DISTINCT m.* FROM m JOIN s ON abs(m.x - s.x) <= s.radius AND abs(m.y - s.y) <= s.radius AND abs(m.z - s.z) <= s.radius")
 def clip_by_seeds(spark, sf):
-    boxes = fx.seeds(spark, sf).select(*XYZ, F.explode(coords.box_offsets(F.col("radius"))).alias("d"))
-    inside = boxes.select(*((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ)).distinct()
+    inside = grid.boxes(fx.seeds(spark, sf), F.col("radius")).select(*(F.col(f"v{a}").alias(a) for a in XYZ)).distinct()
     return fx.mask(spark, sf, 40).join(inside, XYZ, "left_semi").select(*XYZ)
 
 
 @register("seed_windows", f"""WITH {IMG}, {SEEDS} SELECT s.seed_id, count(*) AS n, CAST(sum(i.v) AS BIGINT) AS total, min(i.x) AS min_x, max(i.x) AS max_x
   FROM s JOIN img i ON abs(i.x - s.x) <= 4 AND abs(i.y - s.y) <= 4 AND abs(i.z - s.z) <= 4 GROUP BY 1""")
 def seed_windows(spark, sf):
-    side = F.lit(4)
-    cells = fx.seeds(spark, sf).select("seed_id", *XYZ, F.explode(coords.box_offsets(side)).alias("d"))
-    cells = cells.select("seed_id", *((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ))
+    cells = grid.boxes(fx.seeds(spark, sf), F.lit(4)).select("seed_id", *(F.col(f"v{a}").alias(a) for a in XYZ))
     return cells.join(fx.image(spark, sf), XYZ).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
 
 
