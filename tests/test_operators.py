@@ -235,3 +235,82 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "x int, y int, z int")
     assert grid.label(none).count() == 0 and grid.reachable(none, none).count() == 0
     assert grid.dilate(none).count() == 0 and np.array(coords.ball_offsets(0)).shape == (1, 3)
+
+
+def test_coverage_prune_is_greedy(spark):
+    rng = random.Random(9)
+    cells = {(x, y, z): rng.choice([1, 1, 1, 2, 3]) for x in range(9) for y in range(9) for z in range(5) if rng.random() < 0.5}
+    roots = sorted(cells)[:2] + [(50, 50, 50)]
+    kept = []
+    for c in sorted(cells, key=lambda c: (c not in roots, -cells[c], c[2], c[1], c[0])):
+        if c in roots or not any(sum(abs(a - b) for a, b in zip(c, k, strict=True)) <= cells[k] for k in kept):
+            kept.append(c)
+    nodes = spark.createDataFrame([(*k, r) for k, r in cells.items()], "x int, y int, z int, radius int")
+    got = grid.coverage_prune(nodes, spark.createDataFrame(roots, "x int, y int, z int")).collect()
+    assert {(r.x, r.y, r.z): r.radius for r in got} == {k: cells[k] for k in kept}
+    assert grid.coverage_prune(nodes.limit(0), spark.createDataFrame(roots, "x int, y int, z int")).count() == 0
+
+
+def test_signed_hops_of_a_cube(spark):
+    cube = [(x, y, z) for x in range(5) for y in range(5) for z in range(5)]
+    got = {(r.x, r.y, r.z): r.sdf for r in grid.signed_hops(spark.createDataFrame(cube, "x int, y int, z int"), 2).collect()}
+    assert got[(2, 2, 2)] == -2.5 and got[(0, 2, 2)] == -0.5 and got[(-1, 2, 2)] == 0.5 and got[(-1, -1, 2)] == 1.5
+    assert (-1, -1, -1) not in got and sum(v < 0 for v in got.values()) == 125
+
+
+def test_random_walks_are_connected_and_repeat(spark):
+    from voxarbor.operators import synthetic
+
+    seeds = spark.createDataFrame([(1,), (2,), (2,)], "seed_id long")
+    got = synthetic.random_walks(seeds, 10, 0.1).collect()
+    for seed in (1, 2):
+        cells = {(r.x, r.y, r.z) for r in got if r.seed_id == seed}
+        assert len(cells) == sum(r.seed_id == seed for r in got) == 100 and all(0 <= v < 10 for c in cells for v in c)
+        todo, seen = [(5, 5, 5)], {(5, 5, 5)}
+        while todo:
+            c = todo.pop()
+            new = {q for o in grid.stencil(6) if (q := tuple(a + b for a, b in zip(c, o, strict=True))) in cells} - seen
+            seen |= new
+            todo += new
+        assert seen == cells
+    assert sorted(got) == sorted(synthetic.random_walks(seeds.repartition(7), 10, 0.1).collect())
+
+
+def test_windows_as_paged_files(spark, tmp_path):
+    """A window at an edge, one across tiles, one with a single voxel and one without any."""
+    cells, voxels = _volume(spark, side=20, share=0.3)
+    low_high = {1: ((-3, 0, 0), (4, 5, 6)), 2: ((10, 12, 14), (18, 17, 17)), 3: ((*min(cells),), (*min(cells),)), 4: ((90, 90, 90), (95, 95, 95))}
+    rows = [(w, *(v for pair in zip(a, b, strict=True) for v in pair)) for w, (a, b) in low_high.items()]
+    windows = spark.createDataFrame(rows, "window long, min_x int, max_x int, min_y int, max_y int, min_z int, max_z int")
+    names = images.write_windows(grid.in_windows(voxels, windows, 8), f"file://{tmp_path}/w").collect()
+    assert {r.window for r in names} == {1, 2, 3}
+    for r in names:
+        a, b = low_high[r.window]
+        pages = images.tiff_pages((tmp_path / "w" / r.name).read_bytes())
+        assert len(pages) == r.planes == b[2] - a[2] + 1
+        for k, page in enumerate(pages):
+            want = [[cells.get((x, y, a[2] + k), 0) for x in range(a[0], b[0] + 1)] for y in range(a[1], b[1] + 1)]
+            assert page.tolist() == want
+
+
+def test_mrc_and_reduced_pages(spark, tmp_path):
+    import struct
+
+    v = np.arange(24, dtype="<u2").reshape(2, 3, 4)
+    header = bytearray(1024)
+    struct.pack_into("<4i", header, 0, 4, 3, 2, 6)
+    struct.pack_into("<i", header, 92, 16)
+    data = bytes(header) + b"\0" * 16 + v.tobytes()
+    assert images.mrc_volume(data).tolist() == v.tolist()
+    (tmp_path / "a.mrc").write_bytes(data)
+    got = {(r.x, r.y, r.z): r.v for r in images.read_mrc(spark, str(tmp_path / "a.mrc")).collect()}
+    assert got == {(x, y, z): int(v[z, y, x]) for x in range(4) for y in range(3) for z in range(2)}
+    for bad in (data[:100], bytes(1024)):
+        with pytest.raises(ValueError, match="not an MRC"):
+            images.mrc_volume(bad)
+    paged = images.tiff_bytes(*v)
+    assert [p.tolist() for p in images.tiff_pages(paged)] == v.tolist()
+    # mark the second page as a reduced copy: its first tag becomes 254 with value 1
+    at = paged.rfind(struct.pack("<HHI", 256, 4, 1))
+    thumb = paged[:at] + struct.pack("<HHII", 254, 4, 1, 1) + paged[at + 12 :]
+    assert [p.tolist() for p in images.tiff_pages(thumb)] == v[:1].tolist()

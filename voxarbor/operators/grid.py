@@ -335,3 +335,64 @@ def scaled_patches(image: DataFrame, centres: DataFrame, side: int, scales: tupl
     cells = centres.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
     at = {"x": F.col("x") + (F.col("i") - side // 2) * F.col("scale"), "y": F.col("y") + (F.col("j") - side // 2) * F.col("scale")}
     return cells.withColumns(at).join(image.select(*XYZ, "v"), XYZ, "left")
+
+
+def signed_hops(mask: DataFrame, band: int) -> DataFrame:
+    """x, y, z, sdf: signed distance in face hops to the skin of the mask, which lies half a hop
+    outside its outermost voxels: negative at every voxel of the mask, positive at those up
+    to `band` hops away from it."""
+    mask = materialise(mask.select(*XYZ).distinct())
+    skin = surface(mask).select(*(F.col(a).alias(f"s{a}") for a in XYZ), *XYZ, F.lit(band).alias("r"))
+    hops = sum(F.abs(F.col(f"v{a}") - F.col(f"s{a}")) for a in XYZ)
+    ring = hop_balls(skin, "r").groupBy(*(F.col(f"v{a}").alias(a) for a in XYZ)).agg((F.min(hops) - 0.5).alias("sdf"))
+    inside = depth_from_surface(mask).select(*XYZ, (0.5 - F.col("radius")).alias("sdf"))
+    return inside.unionByName(ring.join(mask, XYZ, "left_anti"))
+
+
+def ball_field(centres: DataFrame) -> DataFrame:
+    """x, y, z, sdf: distance to the nearest sphere's skin at every voxel in a ball."""
+    d = F.sqrt(sum((F.col(f"v{a}") - F.col(a)) * (F.col(f"v{a}") - F.col(a)) for a in XYZ).cast("double"))
+    return balls(centres).groupBy(*(F.col(f"v{a}").alias(a) for a in XYZ)).agg(F.min(d - F.col("radius")).alias("sdf"))
+
+
+def interior(field: DataFrame) -> DataFrame:
+    """The voxels strictly inside a signed distance field."""
+    return field.where("sdf < 0").select(*XYZ)
+
+
+def coverage_prune(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """x, y, z, radius of the voxels kept: roots first, then by falling radius (then key), a
+    voxel is kept unless a kept one has it within its radius in face hops; roots always stay.
+    Rounds instead of one sequence: a voxel is kept once all that could cover it and come
+    before it have gone, and goes once one of them is kept."""
+    n = keyed(nodes.select(*XYZ, F.col("radius").cast("int").alias("radius")))
+    n = materialise(n.join(roots.select(*XYZ).distinct().withColumn("root", F.lit(True)), XYZ, "left").withColumn("root", F.coalesce("root", F.lit(False))))
+    rank = lambda: F.struct("root", "radius", -F.col("id"))
+    cover = hop_balls(n.select(F.col("id").alias("u"), rank().alias("ru"), *XYZ, "radius")).select("u", "ru", key(*(F.col(f"v{a}") for a in XYZ)).alias("v"))
+    low = n.where("NOT root").select(F.col("id").alias("v"), rank().alias("rv"))
+    covers = materialise(cover.join(low, "v").where("ru > rv").select("u", "v"))
+    open_, kept = materialise(n.select("id")), None
+    while not open_.isEmpty():
+        won = materialise(open_.join(covers.select(F.col("v").alias("id")).distinct(), "id", "left_anti"))
+        lost = covers.join(won.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id"))
+        settled = materialise(won.unionByName(lost.distinct()))
+        rest = covers.join(settled.select(F.col("id").alias("u")), "u", "left_anti")
+        rest = materialise(rest.join(settled.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"))
+        left = materialise(open_.join(settled, "id", "left_anti"))
+        both = won if kept is None else materialise(kept.unionByName(won))
+        release(covers, open_, settled, *([] if kept is None else [kept, won]))
+        covers, open_, kept = rest, left, both
+    return n.select(*XYZ, "radius") if kept is None else n.join(kept, "id", "left_semi").select(*XYZ, "radius")
+
+
+def in_windows(voxels: DataFrame, windows: DataFrame, tile: int = 64) -> DataFrame:
+    """Voxels with each window (window, min_x .. max_z, bounds inclusive) that holds them; the two
+    meet on tiles, so no voxel looks at a window elsewhere."""
+    w = windows.select("window", *(f"{m}_{a}" for a in XYZ for m in ("min", "max")))
+    for a in XYZ:
+        w = w.withColumn(f"_{a}", F.explode(F.sequence(F.floor(F.col(f"min_{a}") / tile), F.floor(F.col(f"max_{a}") / tile))))
+    v = voxels.withColumns({f"_{a}": F.floor(F.col(a) / tile) for a in XYZ})
+    j = v.join(w, [f"_{a}" for a in XYZ])
+    for a in XYZ:
+        j = j.where(F.col(a).between(F.col(f"min_{a}"), F.col(f"max_{a}")))
+    return j.select("window", *(f"{m}_{a}" for a in XYZ for m in ("min", "max")), *voxels.columns)

@@ -1,3 +1,3 @@
 """Registered queries and their oracle SQL; importing a plan module registers its queries."""
 
-from . import extra, forest, streams, tables, tracing, trees, volume  # noqa: F401
+from . import extra, fields, forest, streams, tables, tracing, trees, volume  # noqa: F401

@@ -44,11 +44,12 @@ def inner_soma_sample(spark, sf):
     return s.select("seed_id", *XYZ)
 
 
-@register("soma_sample")
+@register("soma_sample", f"""WITH {SEEDS} SELECT seed_id, x, y, z FROM s
+  WHERE CAST('0x' || substr(md5('7-' || seed_id), 1, 8) AS BIGINT) % 1000 < 300""")
 def soma_sample(spark, sf):
     """Bernoulli sample by a hash of the id, so that reruns agree."""
-    share = F.pmod(F.xxhash64("seed_id", F.lit(7)), F.lit(1000)) < 300
-    return fx.seeds(spark, sf).where(share).select("seed_id", *XYZ)
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("7-"), F.col("seed_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    return fx.seeds(spark, sf).where(drawn % 1000 < 300).select("seed_id", *XYZ)
 
 
 @register("invalid_radii", f"WITH {TREE} SELECT id, CASE WHEN id % 9 = 0 THEN 0.0005 ELSE radius END AS radius FROM t WHERE id % 9 = 0")

@@ -140,6 +140,22 @@ def cover_prune(spark, sf):
     return tracing.cover_prune(t, "tree", 12.0)
 
 
+@register("mean_shift_radii")
+def mean_shift_radii(spark, sf):
+    """Positions and radii averaged in balls of six radii; the root stays."""
+    out = tracing.mean_shift(fx.tree(spark, sf), 21.0, factor=6.0, fixed=F.col("type") == 1)
+    return out.withColumn("radius", F.round("radius", 6))
+
+
+@register("cover_groups")
+def cover_groups(spark, sf):
+    """Groups of nodes under one ball, the root's first, at their mean place."""
+    t = fx.tree(spark, sf).withColumn("tree", F.col("id") % 50)
+    soma = F.col("type") == 1
+    groups = tracing.cover_groups(t, tracing.cover_prune(t, "tree", 12.0, soma), soma)
+    return groups.select("id", "members", *(F.round(c, 6).alias(c) for c in (*XYZ, "radius")))
+
+
 @register("assign_somas")
 def assign_somas(spark, sf):
     t = fx.tree(spark, sf)
@@ -162,11 +178,20 @@ def axis_flips(spark, sf):
     return fx.image(spark, sf).select((63 - x).alias("x"), "y", "z", "v", F.least(v * 2 + 3, F.lit(255)).cast("int").alias("linear"), y.alias("rx"), (63 - x).alias("ry"))
 
 
-@register("noisy_image")
+def _drawn_sql(stream: int) -> str:
+    return f"(CAST('0x' || substr(md5({stream} || '-' || x || '-' || y || '-' || z), 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE"
+
+
+@register("noisy_image", f"""WITH {IMG} SELECT x, y, z,
+  round(greatest(v + 2.0::DOUBLE * sqrt(-2 * ln({_drawn_sql(1)})) * cos(2 * pi() * {_drawn_sql(2)}), 0.0), 4) AS v FROM img""")
 def noisy_image(spark, sf):
     """Gaussian noise seeded by position, so that reruns and repartitioning agree."""
-    u = lambda s: (F.pmod(F.xxhash64("x", "y", "z", F.lit(s)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
+
+    def drawn(stream: int):
+        place = F.concat_ws("-", F.lit(str(stream)), *(F.col(a).cast("string") for a in XYZ))
+        return (F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("long") + 1) / F.lit(4294967297.0)
+
+    normal = F.sqrt(-2 * F.log(drawn(1))) * F.cos(2 * F.pi() * drawn(2))
     return fx.image(spark, sf).select(*XYZ, F.round(F.greatest(F.col("v") + 2.0 * normal, F.lit(0.0)), 4).alias("v"))
 
 

@@ -80,6 +80,9 @@ def tiff_pages(data: bytes) -> list[np.ndarray]:
             total = size[kind] * count
             where = e + 8 if total <= 4 else struct.unpack(f"{order}I", data[e + 8 : e + 12])[0]
             tags[tag] = list(struct.unpack(f"{order}{count}{'?BBHI'[kind]}", data[where : where + total]))
+        at = struct.unpack(f"{order}I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        if tags.get(254, [0])[0] & 1:  # a reduced copy beside its page, as LSM files have them
+            continue
         if 322 in tags or tags.get(277, [1])[0] != 1:
             raise ValueError("only striped greyscale TIFF")
         width, height, bits, packed = tags[256][0], tags[257][0], tags[258][0], tags.get(259, [1])[0]
@@ -88,18 +91,41 @@ def tiff_pages(data: bytes) -> list[np.ndarray]:
         strips = [data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True)]
         raw = b"".join(map(lzw_decode, strips) if packed == 5 else strips)
         pages.append(np.frombuffer(raw, dtype=f"{order}u{bits // 8}", count=width * height).reshape(height, width))
-        at = struct.unpack(f"{order}I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
     return pages
 
 
-def tiff_bytes(plane: np.ndarray) -> bytes:
-    """One plain strip, little endian."""
-    height, width = plane.shape
-    raw = np.ascontiguousarray(plane, dtype=f"<u{plane.dtype.itemsize}").tobytes()
-    tags = ((256, 4, width), (257, 4, height), (258, 3, plane.dtype.itemsize * 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(raw)))
-    raw_even = raw + b"\0" * (len(raw) % 2)
-    entries = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<I", v) if k == 4 else struct.pack("<HH", v, 0)) for t, k, v in tags)
-    return struct.pack("<2sHI", b"II", 42, 8 + len(raw_even)) + raw_even + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
+def tiff_bytes(*planes: np.ndarray) -> bytes:
+    """One page a plane, each of one plain strip, little endian."""
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+    link = 4  # where the place of the next page is to be written
+    for plane in planes:
+        height, width = plane.shape
+        raw, strip = np.ascontiguousarray(plane, dtype=f"<u{plane.dtype.itemsize}").tobytes(), len(out)
+        out += raw + b"\0" * (len(raw) % 2)
+        tags = ((256, 4, width), (257, 4, height), (258, 3, plane.dtype.itemsize * 8), (259, 3, 1), (262, 3, 1), (273, 4, strip), (277, 3, 1), (278, 4, height), (279, 4, len(raw)))
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(tags))
+        out += b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<I", v) if k == 4 else struct.pack("<HH", v, 0)) for t, k, v in tags)
+        link = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def mrc_volume(data: bytes) -> np.ndarray:
+    """An MRC map, z by y by x: header of 1,024 bytes and its extension, then modes 0 (8 bits),
+    1 and 6 (16 bits); negative values are refused."""
+    if len(data) < 1024:
+        raise ValueError("not an MRC file: no whole header")
+    order = ">" if data[212:213] == b"\x11" else "<"
+    x, y, z, mode = struct.unpack(f"{order}4i", data[:16])
+    kind = {0: "i1", 1: "i2", 6: "u2"}.get(mode)
+    if kind is None or min(x, y, z) < 1:
+        raise ValueError(f"not an MRC volume of 8 or 16 bits: {x} x {y} x {z}, mode {mode}")
+    extended = struct.unpack(f"{order}i", data[92:96])[0]
+    volume = np.frombuffer(data, dtype=f"{order}{kind}", count=x * y * z, offset=1024 + extended).reshape(z, y, x)
+    if volume.min() < 0:
+        raise ValueError("negative values in an MRC volume")
+    return volume
 
 
 def v3draw_volume(data: bytes) -> np.ndarray:
@@ -133,17 +159,25 @@ def read_tiff(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
     return files.mapInArrow(decode, VOXELS)
 
 
-def read_v3draw(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
+def _read_volumes(spark: SparkSession, path: str, above: int, volume) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                yield from _rows(list(enumerate(v3draw_volume(content.as_py()))), above)
+                yield from _rows(list(enumerate(volume(content.as_py()))), above)
 
     return files.mapInArrow(decode, VOXELS)
 
 
+def read_v3draw(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
+    return _read_volumes(spark, path, above, v3draw_volume)
+
+
+def read_mrc(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
+    return _read_volumes(spark, path, above, mrc_volume)
+
+
 def write_tiff(voxels: DataFrame, uri: str, width: int, height: int, bits: int = 16) -> DataFrame:
     """One img_%06d.tif a plane below a folder URI that executors share; returns the names.
     A plane is at most width by height pixels, whatever the volume's size."""
@@ -159,3 +193,22 @@ def write_tiff(voxels: DataFrame, uri: str, width: int, height: int, bits: int =
         return pd.DataFrame({"z": [int(pdf.z.iloc[0])], "name": [name]})
 
     return voxels.select("x", "y", "z", "v").groupBy("z").applyInPandas(write, "z int, name string")
+
+
+def write_windows(held: DataFrame, uri: str, bits: int = 16) -> DataFrame:
+    """One window_<id>.tif of all its planes a window, from the rows of grid.in_windows with a
+    value v; a window without a voxel has no row and gets no file.  Returns the names."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = ([int(pdf[f"{m}_{a}"].iloc[0]) for a in "zyx"] for m in ("min", "max"))
+        block = np.zeros([b - a + 1 for a, b in zip(low, high, strict=True)], dtype=f"u{bits // 8}")
+        block[pdf.z - low[0], pdf.y - low[1], pdf.x - low[2]] = pdf.v
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        window = int(pdf.window.iloc[0])
+        name = f"window_{window}.tif"
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(tiff_bytes(*block))
+        return pd.DataFrame({"window": [window], "planes": [len(block)], "name": [name]})
+
+    return held.groupBy("window").applyInPandas(write, "window long, planes int, name string")
