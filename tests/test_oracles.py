@@ -46,3 +46,19 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     registry.QUERIES[name](spark, str(DATA)).collect()
+
+
+def test_fit_probability_with_a_node_at_the_soma(spark, tmp_path):
+    """Of a tree as large as the scale runs' one node lies at (50, 50, 50); here part keys are
+    chosen so that the path to it is whole."""
+    need, i = set(), next(i for i in range(1, 1113122) if (i * 37 % 101, i * 53 % 103, i * 71 % 107) == (50, 50, 50))
+    for i in range(i, i + 5):
+        while i:
+            need.add(i)
+            i = 0 if i == 1 else i // 5 if i % 5 == 0 else i - 1
+    duckdb.sql(f"COPY (SELECT CAST(unnest({sorted(need)}) - 1 AS BIGINT) AS p_partkey, 3 AS p_size) TO '{tmp_path}/part.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    for name in ("fit_probability", "goodness_of_fit"):
+        df, rel = registry.QUERIES[name](spark, str(tmp_path)), con.sql(registry.ORACLES[name])
+        assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
