@@ -1,7 +1,9 @@
 """Operators without SQL form against small models, and sources as round trips."""
 
+import functools
 import heapq
 import math
+import operator
 import random
 
 import numpy as np
@@ -182,6 +184,24 @@ def test_within_equals_all_pairs(spark):
     assert got == {(p[0], q[0]) for p in pts for q in pts if math.dist(p[1:], q[1:]) <= 9.0}
 
 
+def test_reached_and_nearest_equal_all_pairs(spark):
+    """Clustered and thin points, copies of places, ties and places without a point in reach."""
+    rng = random.Random(6)
+    put = lambda: tuple(rng.choice([rng.uniform(-3, 3), float(rng.randint(-2, 2)), rng.uniform(-60, 60)]) for _ in range(3))
+    a, b = [(i, *put()) for i in range(150)], [(i, *put()) for i in range(400)]
+    a += [(200 + p[0], *p[1:]) for p in a[:20]]
+    b += [(500 + p[0], *p[1:]) for p in b[:50]] + [(-1, None, 0.0, 0.0)]
+    left, right = spark.createDataFrame(a, "a long, x double, y double, z double"), spark.createDataFrame(b, "b long, x double, y double, z double")
+    for radius, scale in ((12.0, (1.0, 1.0, 1.0)), (7.0, (0.5, 1.0, 2.0))):
+        d2 = lambda p, q: functools.reduce(operator.add, (((u - v) * s) * ((u - v) * s) for u, v, s in zip(p[1:], q[1:], scale, strict=True)))  # noqa: B023, E731
+        want = {p[0]: min((d2(p, q), q[0]) for q in b[:-1]) for p in a}
+        want = {k: v for k, v in want.items() if v[0] <= radius * radius}
+        assert 20 < len(want) < len(a)
+        got = matching.nearest(left, right, radius, scale)
+        assert {r.a: (r.d2, r.b) for r in got.collect()} == want and got.count() == len(want)
+        assert sorted(r.a for r in matching.reached(left, right, radius, scale).collect()) == sorted(want)
+
+
 def test_swc_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("a", 1, 1, 0.0, 0.0, 0.0, 2.0, None), ("a", 2, 3, 1.0, 2.0, 3.0, 1.0, 1), ("b", 1, 1, 5.0, 5.0, 5.0, 1.0, None)],
                               "tree string, id long, type int, x double, y double, z double, radius double, parent long")

@@ -62,3 +62,23 @@ def test_fit_probability_with_a_node_at_the_soma(spark, tmp_path):
     for name in ("fit_probability", "goodness_of_fit"):
         df, rel = registry.QUERIES[name](spark, str(tmp_path)), con.sql(registry.ORACLES[name])
         assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
+
+
+def _broadcast_rows(df):
+    """Most rows that one step of a plan broadcasts when it runs."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
+        if name == "BroadcastExchange":
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return max(found)
+
+
+#: Rows of supplier and of part are each repeated to the cells around; none of it is broadcast.
+@pytest.mark.parametrize("name", ["distance_both_ways"])
+def test_broadcasts_no_repeated_side(spark, name):
+    assert _broadcast_rows(registry.QUERIES[name](spark, str(DATA))) <= 200

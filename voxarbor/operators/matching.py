@@ -1,14 +1,25 @@
 """Range, nearest and best-of-ball joins of point tables by grid buckets.
 
 Both sides get a cell of the search radius; one side is repeated to the 27 cells around.
-The join is an equi-join on the cell, so it shuffles by cell and never compares all pairs."""
+The join is an equi-join on the cell, so it shuffles by cell and never compares all pairs.
+
+`reached` needs one point in reach, not all: it looks through small cells first and widens the
+search for the points that have found none.  The planner takes a repeated
+side for as small as its source and would broadcast it; its joins are hinted to shuffle."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxarbor.functions.storage import materialise
+
 XYZ = ("x", "y", "z")
+#: Right points in an occupied cell, on average, above which smaller cells are looked through
+#: first, and how often a cell may be halved.
+FULL_CELL, HALVINGS = 2.0, 12
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -30,11 +41,67 @@ def best(pairs: DataFrame, *order: Column | str) -> DataFrame:
     return pairs.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def _cells(side: str, radius: float, scale) -> list[Column]:
+    return [F.floor(F.col(f"{side}{c}") * F.lit(s) / F.lit(radius)).cast("long").alias(f"c{c}") for c, s in zip(XYZ, scale, strict=True)]
+
+
+def _places(points: DataFrame, side: str, *aggs: Column) -> DataFrame:
+    """One row a place, as columns <side>x, <side>y, <side>z; points without a place go."""
+    named = points.dropna(subset=list(XYZ)).withColumnsRenamed({c: f"{side}{c}" for c in XYZ})
+    at = named.groupBy(*(f"{side}{c}" for c in XYZ))
+    return materialise(at.agg(*aggs) if aggs else at.agg(F.lit(0).alias("_n")).drop("_n"))
+
+
+def _meet(left: DataFrame, right: DataFrame, radius: float, scale, repeat_left: bool) -> tuple[DataFrame, list[str]]:
+    """Pairs of places at distance radius or less with their d2, and the columns by which those
+    of one left place lie together: its cell too, unless the left side is repeated."""
+    cell = [f"c{c}" for c in XYZ]
+    l, r = left.select("*", *_cells("l", radius, scale)), right.select("*", *_cells("r", radius, scale))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for c in cell:
+        if repeat_left:
+            l = l.withColumn("_o", F.explode(around)).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
+        else:
+            r = r.withColumn("_o", F.explode(around)).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
+    joined = l.join(r.hint("shuffle_hash"), cell) if repeat_left else r.join(l.hint("shuffle_hash"), cell)
+    d2 = sum(((F.col(f"l{c}") - F.col(f"r{c}")) * F.lit(s)) * ((F.col(f"l{c}") - F.col(f"r{c}")) * F.lit(s)) for c, s in zip(XYZ, scale, strict=True))
+    own = [f"l{c}" for c in XYZ]
+    return joined.withColumn("d2", d2.cast("double")).where(F.col("d2") <= radius * radius), own if repeat_left else [*cell, *own]
+
+
+def _first_found(left: DataFrame, right: DataFrame, radius: float, scale, first: Column) -> DataFrame:
+    """(a, first): the aggregate `first` over the places of right (with b, the smallest id there)
+    at the least of the radii radius / 2^k at which left's place has one.  All within that radius
+    are seen, so that the nearest one is."""
+    places = _places(right, "r", F.min("b").alias("b"))
+    seen = places.agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.xxhash64(*_cells("r", radius / 2**k, scale))) for k in range(HALVINGS + 1))).first()
+    halved = next((k for k in range(HALVINGS + 1) if seen[0] <= FULL_CELL * seen[k + 1]), HALVINGS)
+    own = [f"l{c}" for c in XYZ]
+    open_ = _places(left, "l")
+    found = []
+    while True:
+        pairs, by = _meet(open_, places, radius / 2**halved, scale, open_.count() < seen[0])
+        best = pairs.groupBy(*by).agg(first.alias("first")).select(*own, "first")
+        now = materialise(open_.join(best.hint("shuffle_hash"), own, "left"))
+        found.append(now.where("first IS NOT NULL"))
+        open_ = now.where("first IS NULL").drop("first")
+        if not halved or open_.isEmpty():
+            break
+        halved -= 1
+    at = reduce(DataFrame.unionByName, found)
+    return left.select("a", *(F.col(c).alias(f"l{c}") for c in XYZ)).join(at.hint("shuffle_hash"), own).select("a", "first")
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
     """For each a with one in reach, the nearest b (ties: smallest b)."""
     return best(within(left, right, radius, scale), "d2", "b")
 
 
+def reached(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
+    """The a that have a point of right in reach, each once."""
+    return _first_found(left, right, radius, scale, F.min("d2")).select("a").distinct()
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs that are each other's nearest."""
     pairs = within(left, right, radius)

@@ -200,7 +200,7 @@ def distance_both_ways(spark, sf):
     a, b = (s.where(w).select((F.col("id") * (1 << 20) + F.col("i")).alias("k"), *XYZ) for w in ("id % 3 <> 0", "id % 2 = 0"))
     out = None
     for name, one, other in (("completeness", a, b), ("correctness", b, a)):
-        hit = matching.within(one.withColumnRenamed("k", "a"), other.withColumnRenamed("k", "b"), 4.0).select("a").distinct()
+        hit = matching.reached(one.withColumnRenamed("k", "a"), other.withColumnRenamed("k", "b"), 4.0)
         row = one.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(hit.agg(F.count(F.lit(1)).alias("matched"))).select(F.lit(name).alias("score"), "nodes", "matched")
         out = row if out is None else out.unionByName(row)
     return out
