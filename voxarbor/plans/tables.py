@@ -64,7 +64,7 @@ def highest_valence_in_ball(spark, sf):
 @register("completeness", f"WITH {TREE}, o AS (SELECT id, x, y, z FROM t WHERE id % 3 = 0) SELECT count(*) AS nodes, count(*) FILTER (EXISTS (SELECT 1 FROM o WHERE (t.x-o.x)*(t.x-o.x) + (t.y-o.y)*(t.y-o.y) + (t.z-o.z)*(t.z-o.z) <= 64)) AS matched FROM t")
 def completeness(spark, sf):
     t = fx.tree(spark, sf)
-    hit = matching.within(t.select(F.col("id").alias("a"), *XYZ), t.where("id % 3 = 0").select(F.col("id").alias("b"), *XYZ), 8.0).select("a").distinct()
+    hit = matching.reached(t.select(F.col("id").alias("a"), *XYZ), t.where("id % 3 = 0").select(F.col("id").alias("b"), *XYZ), 8.0)
     return t.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(hit.agg(F.count(F.lit(1)).alias("matched")))
 
 
