@@ -280,12 +280,13 @@ def compare_trees(spark, sf):
 
 @register("cut_subvolumes", f"WITH {IMG}, {SEEDS}, b AS (SELECT seed_id, least(greatest(x - 8, 0), 48) AS x0, least(greatest(y - 8, 0), 48) AS y0, z FROM s) SELECT seed_id, i.x - x0 AS x, i.y - y0 AS y, i.z, i.v FROM b JOIN img i ON i.z = b.z AND i.x >= x0 AND i.x < x0 + 16 AND i.y >= y0 AND i.y < y0 + 16")
 def cut_subvolumes(spark, sf):
+    """The image is the build side: the seeds' cells, 256 a seed, would be planned as a broadcast."""
     s = fx.seeds(spark, sf)
     low = lambda a: F.least(F.greatest(F.col(a) - 8, F.lit(0)), F.lit(48))
     side = F.sequence(F.lit(0), F.lit(15))
     cells = s.select("seed_id", "z", low("x").alias("x0"), low("y").alias("y0"), F.explode(side).alias("i")).withColumn("j", F.explode(side))
     cells = cells.select("seed_id", "z", (F.col("x0") + F.col("i")).alias("x"), (F.col("y0") + F.col("j")).alias("y"), "i", "j")
-    return cells.join(fx.image(spark, sf), XYZ).select("seed_id", F.col("i").alias("x"), F.col("j").alias("y"), "z", "v")
+    return cells.join(fx.image(spark, sf).hint("shuffle_hash"), XYZ).select("seed_id", F.col("i").alias("x"), F.col("j").alias("y"), "z", "v")
 
 
 @register("seeds_in_box", f"WITH {SEEDS}, q(box, x0, x1, y0, y1) AS (VALUES (1, 0, 20, 0, 30), (2, 10, 50, 20, 64), (3, 60, 64, 0, 64)) SELECT seed_id, count(*) AS boxes FROM s JOIN q ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1")
