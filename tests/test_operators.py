@@ -200,6 +200,8 @@ def test_reached_and_nearest_equal_all_pairs(spark):
         got = matching.nearest(left, right, radius, scale)
         assert {r.a: (r.d2, r.b) for r in got.collect()} == want and got.count() == len(want)
         assert sorted(r.a for r in matching.reached(left, right, radius, scale).collect()) == sorted(want)
+        least = {p[0]: min(q[0] for q in b[:-1] if d2(p, q) <= radius * radius) for p in a if p[0] in want}
+        assert {r.a: r.b for r in matching.smallest(left, right, radius, scale).collect()} == least
 
 
 def test_swc_round_trip(spark, tmp_path):

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from voxarbor.operators import matching
 from voxarbor.plans import registry
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -82,3 +83,10 @@ def _broadcast_rows(df):
 @pytest.mark.parametrize("name", ["distance_both_ways", "completeness", "cut_subvolumes"])
 def test_broadcasts_no_repeated_side(spark, name):
     assert _broadcast_rows(registry.QUERIES[name](spark, str(DATA))) <= 200
+
+
+#: They need the nearest or the smallest in reach, so they get by without the pairs of `within`.
+@pytest.mark.parametrize("name", ["forced_soma_edges"])
+def test_needs_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(matching, "within", None)
+    registry.QUERIES[name](spark, str(DATA)).collect()

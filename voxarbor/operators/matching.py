@@ -102,6 +102,16 @@ def reached(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1
     return _first_found(left, right, radius, scale, F.min("d2")).select("a").distinct()
 
 
+def smallest(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
+    """For each a with one in reach, the smallest b: (a, b).  Places are compared, so copies of a
+    place cost nothing."""
+    spots, places = _places(left, "l"), _places(right, "r", F.min("b").alias("b"))
+    pairs, by = _meet(spots, places, radius, scale, spots.count() < places.count())
+    own = [f"l{c}" for c in XYZ]
+    at = pairs.groupBy(*by).agg(F.min("b").alias("b")).select(*own, "b")
+    return left.select("a", *(F.col(c).alias(f"l{c}") for c in XYZ)).join(at.hint("shuffle_hash"), own).groupBy("a").agg(F.min("b").alias("b"))
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs that are each other's nearest."""
     pairs = within(left, right, radius)

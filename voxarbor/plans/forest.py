@@ -233,7 +233,7 @@ def split_polygons(spark, sf):
   FROM e JOIN n p ON p.id = src JOIN n q ON q.id = dst WHERE src < dst""")
 def forced_soma_edges(spark, sf):
     t, s = fx.tree(spark, sf), fx.seeds(spark, sf)
-    held = matching.within(t.select(F.col("id").alias("a"), *XYZ), s.select(F.col("seed_id").alias("b"), *XYZ), 15.0).select(F.col("b").alias("soma"), F.col("a").alias("id"))
+    held = matching.smallest(t.select(F.col("id").alias("a"), *XYZ), s.select(F.col("seed_id").alias("b"), *XYZ), 15.0).select(F.col("b").alias("soma"), F.col("a").alias("id"))
     place = [F.col(a).cast("double").alias(a) for a in (*XYZ, "radius")]
     n, e = trees.forced_somas(t, s.select(F.col("seed_id").alias("soma"), *place), held)
     for c in ("src", "dst"):
