@@ -3,9 +3,9 @@
 Both sides get a cell of the search radius; one side is repeated to the 27 cells around.
 The join is an equi-join on the cell, so it shuffles by cell and never compares all pairs.
 
-`reached` needs one point in reach, not all: it looks through small cells first and widens the
-search for the points that have found none.  The planner takes a repeated
-side for as small as its source and would broadcast it; its joins are hinted to shuffle."""
+`nearest` and `reached` need one point in reach, not all: they look through small cells first
+and widen the search for the points that have found none.  The planner takes a repeated
+side for as small as its source and would broadcast it; their joins are hinted to shuffle."""
 
 from __future__ import annotations
 
@@ -94,7 +94,8 @@ def _first_found(left: DataFrame, right: DataFrame, radius: float, scale, first:
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
     """For each a with one in reach, the nearest b (ties: smallest b)."""
-    return best(within(left, right, radius, scale), "d2", "b")
+    found = _first_found(left, right, radius, scale, F.min(F.struct("d2", "b")))
+    return best(found.select("a", "first.b", "first.d2"), "d2", "b")
 
 
 def reached(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0, 1.0)) -> DataFrame:
