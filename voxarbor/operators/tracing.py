@@ -192,8 +192,7 @@ def split_multifurcations(tree: DataFrame) -> DataFrame:
 def merge_in_balls(tree: DataFrame, seeds: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     """Contraction of all nodes within reach of a seed into it (several seeds: the smallest
     id).  Returns (id, into) and the relabelled undirected edges without loops or repeats."""
-    pairs = matching.within(tree.select(F.col("id").alias("a"), *XYZ), seeds.select(F.col("seed_id").alias("b"), *XYZ), reach)
-    to = pairs.groupBy("a").agg(F.min("b").alias("seed"))
+    to = matching.smallest(tree.select(F.col("id").alias("a"), *XYZ), seeds.select(F.col("seed_id").alias("b"), *XYZ), reach).withColumnRenamed("b", "seed")
     into = materialise(tree.join(to, tree.id == to.a, "left").select("id", F.coalesce(-F.col("seed") - 1, "id").alias("into")))
     e = tree.where("parent IS NOT NULL").select("id", "parent")
     a, b = into.select("id", F.col("into").alias("s")), into.select(F.col("id").alias("parent"), F.col("into").alias("d"))
