@@ -115,7 +115,6 @@ def smallest(left: DataFrame, right: DataFrame, radius: float, scale=(1.0, 1.0,
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs that are each other's nearest."""
-    pairs = within(left, right, radius)
-    ab = best(pairs, "d2", "b")
-    ba = best(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d2"), "d2", "b")
+    ab = materialise(nearest(left, right, radius))
+    ba = nearest(right.join(ab.select("b").distinct().hint("shuffle_hash"), "b", "left_semi").withColumnRenamed("b", "a"), left.withColumnRenamed("a", "b"), radius)
     return ab.join(ba.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
