@@ -94,6 +94,19 @@ def test_mean_shift_leaves_somas_and_averages_radii(spark):
     assert (got[2].x, got[2].y, got[2].z, got[2].radius) == (0.0, 2.0, 0.0, 4.0)
 
 
+def test_line_sums_equal_all_pairs():
+    """On a lattice, where balls' edges meet places exactly, and on scattered places."""
+    rng = np.random.default_rng(4)
+    for p in (np.unique(rng.integers(-9, 12, (2500, 3)).astype(float), axis=0), rng.uniform(-9, 12, (700, 3))):
+        n, radius = rng.integers(1, 4, len(p)).astype(float), rng.integers(1, 9, len(p)) * 0.5
+        at = np.r_[p[:150], rng.uniform(-14, 14, (250, 3))]
+        r2 = rng.choice([0.0, 0.25, 4.0, 9.0, 49.0, 50.5], len(at))
+        inside = sum((p[None, :, c] - at[:, None, c]) ** 2 for c in range(3)) <= r2[:, None]
+        want = np.stack([inside @ v for v in (n, n * p[:, 0], n * p[:, 1], n * p[:, 2], n * 0 + radius)], 1)
+        got = tracing._line_sums(at, r2, p, n, radius)
+        assert (got[:, 0] == want[:, 0]).all() and np.allclose(got, want, atol=1e-8)
+
+
 def test_goodness_of_fit_counts_a_node_at_the_soma(spark):
     rows = [(1, None, 50.0, 60.0), (2, 1, 50.0, 50.0), (3, 2, 60.0, 50.0), (4, 3, 60.0, 60.0), (5, 4, 60.0, 60.0)]
     t = spark.createDataFrame(rows, "id long, parent long, x double, y double").selectExpr("*", "50D z", "1D radius")

@@ -85,8 +85,8 @@ def test_broadcasts_no_repeated_side(spark, name):
     assert _broadcast_rows(registry.QUERIES[name](spark, str(DATA))) <= 200
 
 
-#: They need the nearest or the smallest in reach, so they get by without the pairs of `within`.
-@pytest.mark.parametrize("name", ["forced_soma_edges", "nearest_point", "reached_somas", "merge_in_balls", "mutual_nearest"])
+#: They need the nearest or the smallest in reach, or sums over it, so they get by without the pairs of `within`.
+@pytest.mark.parametrize("name", ["forced_soma_edges", "nearest_point", "reached_somas", "merge_in_balls", "mutual_nearest", "mean_shift"])
 def test_needs_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "within", None)
     registry.QUERIES[name](spark, str(DATA)).collect()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -206,28 +210,115 @@ def mean_shift(nodes: DataFrame, reach: float, rounds: int = 4, stop: float = 0.
     likewise.  With a factor a node's reach is its radius times that, `reach` at most.  Nodes
     for which the condition `fixed` holds (somas) stay as they are."""
     cols = [*XYZ, "radius"]
-    still = F.lit(False) if fixed is None else F.coalesce(fixed, F.lit(False))
+    nowhere = reduce(or_, (F.col(a).isNull() | F.isnan(F.col(a).cast("double")) for a in XYZ))
+    still = nowhere if fixed is None else F.coalesce(fixed, F.lit(False)) | nowhere
     radius = F.col("radius").cast("double") if "radius" in nodes.columns else F.lit(None).cast("double")
     limit = F.lit(float(reach)) if factor is None else F.least(radius * factor, F.lit(float(reach)))
-    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ), radius.alias("radius"), limit.alias("limit"), still.alias("done")))
-    own = base.select(F.col("id").alias("b"), *(F.col(c).alias(f"o{c}") for c in cols))
-    now = base
+    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ), radius.alias("radius"), limit.alias("limit"), still.alias("done"), nowhere.alias("nowhere")))
+    places = materialise(base.where("NOT nowhere").groupBy(*XYZ).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("radius"), F.lit(0.0)).alias("sradius")))
+    now = base.drop("nowhere")
     for _ in range(rounds):
-        moving = now.where("NOT done")
-        pairs = matching.within(moving.select(F.col("id").alias("a"), *XYZ), base.select(F.col("id").alias("b"), *XYZ), reach).select("a", "b")
-        at = pairs.join(own, "b").join(moving, F.col("a") == moving.id)
-        apart = sum((F.col(f"o{c}") - F.col(c)) * (F.col(f"o{c}") - F.col(c)) for c in XYZ)
-        m = at.where(apart <= F.col("limit") * F.col("limit")).groupBy("a").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{c}").alias(f"s{c}") for c in cols))
-        mean = [((F.coalesce(f"s{c}", F.lit(0.0)) + F.col(c)) / (F.coalesce("n", F.lit(0)) + 1)).alias(f"m{c}") for c in cols]
-        j = moving.join(m, moving.id == m.a, "left").select("id", "limit", *XYZ, *mean)
+        m = _ball_sums(now.where("NOT done"), places, float(reach))
+        mean = [((F.col(f"s{c}") + F.col(c)) / (F.col("n") + 1)).alias(f"m{c}") for c in cols]
+        j = m.select("id", "limit", *XYZ, *mean)
         d2 = sum((F.col(f"m{a}") - F.col(a)) * (F.col(f"m{a}") - F.col(a)) for a in XYZ)
         moved = j.select("id", *(F.col(f"m{c}").alias(c) for c in cols), "limit", (d2 <= stop).alias("done"))
         before, now = now, materialise(now.where("done").unionByName(moved))
-        if before is not base:
-            release(before)
+        release(before)
+    if rounds:
+        release(base, places)
     return now.select("id", *(F.round(a).alias(a) for a in XYZ), "radius")
 
 
+def _ball_sums(nodes: DataFrame, places: DataFrame, reach: float) -> DataFrame:
+    """nodes(id, x, y, z, radius, limit) with the number n of places(x, y, z, n, sradius) in the
+    ball of the lesser of limit and reach around each, copies counted, and the sums sx, sy, sz and sradius
+    over them.  Nodes are dealt into blocks, which get the places within reach of them."""
+    edge = 1.5 * reach or 1.0
+    block = [f"b{c}" for c in XYZ]
+    lots = 8 * nodes.sparkSession.sparkContext.defaultParallelism
+    q = nodes.select("id", *XYZ, "radius", "limit", *(F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in XYZ))
+    p = places
+    for c in XYZ:
+        wide = reach * (1 + 1e-9) + 1e-9
+        p = p.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - wide) / edge).cast("long"), F.floor((F.col(c) + wide) / edge).cast("long"))))
+    # a fixed number of lots: few bytes make much work here, and adaptive planning goes by bytes
+    pair = q.repartition(lots, *block).groupBy(*block).cogroup(p.repartition(lots, *block).groupBy(*block))
+    sums = [f"s{c}" for c in (*XYZ, "radius")]
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        q = q.drop(columns=block)
+        at = q[list(XYZ)].to_numpy(float)
+        got = _line_sums(at, np.minimum(q.limit.to_numpy(float) ** 2, reach * reach), p[list(XYZ)].to_numpy(float), p.n.to_numpy(float), p.sradius.to_numpy(float))
+        return q.assign(n=got[:, 0].astype(np.int64), **{c: got[:, k + 1] for k, c in enumerate(sums)})
+
+    return pair.applyInPandas(run, "id long, x double, y double, z double, radius double, limit double, n long, " + ", ".join(f"{c} double" for c in sums))
+
+
+def _ragged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from low to high of each row (without high), and their rows."""
+    size = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(low)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]
+
+
+def _line_sums(at: np.ndarray, r2: np.ndarray, p: np.ndarray, n: np.ndarray, radius: np.ndarray, lot: int = 256) -> np.ndarray:
+    """n, x, y, z and radius summed over the places p in each ball.  Places of one y and z are a
+    line; a ball holds one run of it, whose sums are differences of running sums, so that a
+    ball in a dense volume costs its lines, not its places.  Where runs end is tested on the places."""
+    out = np.zeros((len(at), 5))
+    if not len(p) or not len(at):
+        return out
+    order = np.lexsort((p[:, 0], p[:, 1], p[:, 2]))
+    p, n, radius = p[order], n[order], radius[order]
+    x, y, z = p.T
+    line0 = np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+    ly, lz = y[line0], z[line0]
+    ends = np.r_[line0[1:], len(p)]
+    zs, z0 = np.unique(lz, return_index=True)
+    # one sorted key over all planes' lines, and one over all lines' places
+    most = 2 * math.sqrt(r2.max()) + 2
+    low = np.minimum(p.min(0), at.min(0))
+    wide = np.maximum(p.max(0), at.max(0)) - low + 2 * most
+    line_key = np.repeat(np.arange(len(zs)), np.diff(np.r_[z0, len(lz)])) * wide[1] + (ly - low[1])
+    key = np.repeat(np.arange(len(line0)), ends - line0) * wide[0] + (x - low[0])
+    run = np.zeros((3, len(p) + 1))
+    np.cumsum([n, n * x, radius], axis=1, out=run[:, 1:])
+    slack = 1e-6
+    for start in range(0, len(at), lot):
+        a, b2 = at[start:start + lot], r2[start:start + lot]
+        reach = np.sqrt(b2) + slack
+        i, k = _ragged(np.searchsorted(zs, a[:, 2] - reach), np.searchsorted(zs, a[:, 2] + reach, "right"))
+        half = np.sqrt(np.maximum(b2[i] - (zs[k] - a[i, 2]) ** 2, 0)) + slack
+        mid = k * wide[1] + (a[i, 1] - low[1])
+        j, line = _ragged(np.searchsorted(line_key, mid - half), np.searchsorted(line_key, mid + half, "right"))
+        i = i[j]
+        dy, dz = ly[line] - a[i, 1], lz[line] - a[i, 2]
+        half = np.sqrt(np.maximum(b2[i] - dy * dy - dz * dz, 0)) + slack
+        mid = line * wide[0] + (a[i, 0] - low[0])
+        lo, hi = np.searchsorted(key, mid - half), np.searchsorted(key, mid + half, "right")
+        ax, dy, dz, most2 = a[i, 0], dy * dy, dz * dz, b2[i]
+
+        def out_of(where: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            dx = x[where] - ax[rows]  # noqa: B023
+            return dx * dx + dy[rows] + dz[rows] > most2[rows]  # noqa: B023
+
+        rows = np.flatnonzero(lo < hi)
+        while len(rows):
+            rows = rows[out_of(lo[rows], rows)]
+            lo[rows] += 1
+            rows = rows[lo[rows] < hi[rows]]
+        rows = np.flatnonzero(lo < hi)
+        while len(rows):
+            rows = rows[out_of(hi[rows] - 1, rows)]
+            hi[rows] -= 1
+            rows = rows[lo[rows] < hi[rows]]
+        count, sx, sr = run[:, hi] - run[:, lo]
+        for c, v in enumerate((count, sx, count * ly[line], count * lz[line], sr)):
+            out[start:start + lot, c] = np.bincount(i, v, len(a))
+    return out
+
+
 def cover_prune(nodes: DataFrame, group: str, factor: float = 1.0, first=None) -> DataFrame:
     """Greedy sphere grouping per group: those for which `first` holds (somas), then by falling
     radius (then id), a node is kept unless a kept node's ball of radius * factor holds it:
