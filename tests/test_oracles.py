@@ -86,7 +86,7 @@ def test_broadcasts_no_repeated_side(spark, name):
 
 
 #: They need the nearest or the smallest in reach, or sums over it, so they get by without the pairs of `within`.
-@pytest.mark.parametrize("name", ["forced_soma_edges", "nearest_point", "reached_somas", "merge_in_balls", "mutual_nearest", "mean_shift"])
+@pytest.mark.parametrize("name", ["forced_soma_edges", "nearest_point", "reached_somas", "merge_in_balls", "mutual_nearest", "mean_shift", "mean_shift_radii"])
 def test_needs_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "within", None)
     registry.QUERIES[name](spark, str(DATA)).collect()
