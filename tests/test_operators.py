@@ -94,6 +94,54 @@ def test_mean_shift_leaves_somas_and_averages_radii(spark):
     assert (got[2].x, got[2].y, got[2].z, got[2].radius) == (0.0, 2.0, 0.0, 4.0)
 
 
+def _shifted(rows, reach, rounds, factor):
+    """What mean_shift makes of rows (id, type, x, y, z, radius), all pairs compared; type 1 stays."""
+    p, out = np.array([r[2:5] for r in rows], float), {}
+    radii = np.array([r[5] for r in rows])
+    for i, kind, *at, radius in rows:
+        at, limit = np.array(at, float), min(radius * factor, reach)
+        for _ in range(0 if kind == 1 else rounds):
+            near = ((p - at) ** 2).sum(1) <= limit * limit
+            to, radius = (p[near].sum(0) + at) / (near.sum() + 1), (radii[near].sum() + radius) / (near.sum() + 1)
+            small, at = ((to - at) ** 2).sum() <= 0.5, to
+            if small:
+                break
+        out[i] = (*at, radius)
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_mean_shift_equals_all_pairs(spark, monkeypatch, whole):
+    """On whole places without a search along lines, on scattered ones with it.  A trail of ever denser
+    places leads nodes out of their blocks."""
+    rng = random.Random(11)
+    put = [(rng.randint(-12, 12), rng.randint(-7, 7), rng.randint(-3, 3)) for _ in range(900)]
+    put += [(20 + x, 0, y) for x in range(30) for y in range(-x // 4, x // 4 + 1)]
+    if whole:
+        monkeypatch.setattr(tracing, "_line_sums", None)
+    else:
+        put = [tuple(v + rng.uniform(-0.4, 0.4) for v in p) for p in put]
+    rows = [(i, 1 if i % 40 == 0 else 3, *map(float, p), rng.choice([0.5, 1.0, 3.0])) for i, p in enumerate(put)]
+    n = spark.createDataFrame([*rows, (-1, 3, None, 0.0, 0.0, 1.0)], "id long, type int, x double, y double, z double, radius double")
+    got = {r.id: r for r in tracing.mean_shift(n, 4.0, rounds=7, factor=2.0, fixed=F.col("type") == 1).collect()}
+    want = _shifted(rows, 4.0, 7, 2.0)
+    assert len(got) == len(rows) + 1 and got[-1].x is None
+    assert all(abs(got[i].radius - w[3]) < 1e-9 for i, w in want.items())
+    assert all(abs(v - w) <= 0.5 + 1e-9 for i, at in want.items() for v, w in zip((got[i].x, got[i].y, got[i].z), at))
+
+
+def test_grid_sums_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    p = np.unique(rng.integers(-9, 12, (2500, 3)).astype(float), axis=0)
+    n, radius = rng.integers(1, 4, len(p)).astype(float), rng.integers(1, 9, len(p)) * 0.5
+    at = np.r_[p[:150], rng.integers(-16, 19, (150, 3)), rng.integers(-30, 40, (150, 3)) / 2, rng.uniform(-14, 14, (250, 3))]
+    r2 = rng.choice([0.0, 0.25, 4.0, 9.0, 49.0, 50.5], len(at))
+    inside = sum((p[None, :, c] - at[:, None, c]) ** 2 for c in range(3)) <= r2[:, None]
+    want = np.stack([inside @ n, *(inside @ (n * p[:, c]) for c in range(3)), inside @ radius], axis=1)
+    assert np.array_equal(tracing._grid_sums(p, n, radius, lot=64)(at, r2), want)
+    assert tracing._grid_sums(p + 0.5, n, radius) is None and tracing._grid_sums(p * 1000, n, radius) is None
+
+
 def test_line_sums_equal_all_pairs():
     """On a lattice, where balls' edges meet places exactly, and on scattered places."""
     rng = np.random.default_rng(4)

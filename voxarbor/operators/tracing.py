@@ -209,50 +209,78 @@ def mean_shift(nodes: DataFrame, reach: float, rounds: int = 4, stop: float = 0.
     own position counted twice, until its squared shift is at most `stop`; radii are averaged
     likewise.  With a factor a node's reach is its radius times that, `reach` at most.  Nodes
     for which the condition `fixed` holds (somas) stay as they are."""
-    cols = [*XYZ, "radius"]
     nowhere = reduce(or_, (F.col(a).isNull() | F.isnan(F.col(a).cast("double")) for a in XYZ))
     still = nowhere if fixed is None else F.coalesce(fixed, F.lit(False)) | nowhere
     radius = F.col("radius").cast("double") if "radius" in nodes.columns else F.lit(None).cast("double")
     limit = F.lit(float(reach)) if factor is None else F.least(radius * factor, F.lit(float(reach)))
-    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ), radius.alias("radius"), limit.alias("limit"), still.alias("done"), nowhere.alias("nowhere")))
-    places = materialise(base.where("NOT nowhere").groupBy(*XYZ).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("radius"), F.lit(0.0)).alias("sradius")))
+    left = F.when(still, 0).otherwise(rounds).cast("int")
+    base = materialise(nodes.select("id", *(F.col(a).cast("double").alias(a) for a in XYZ), radius.alias("radius"), limit.alias("limit"), left.alias("left"), nowhere.alias("nowhere")))
+    places = base.where("NOT nowhere").groupBy(*XYZ).agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.sum("radius"), F.lit(0.0)).alias("sradius"))
+    tiles = _tiles(places, float(reach)) if rounds else None
     now = base.drop("nowhere")
-    for _ in range(rounds):
-        m = _ball_sums(now.where("NOT done"), places, float(reach))
-        mean = [((F.col(f"s{c}") + F.col(c)) / (F.col("n") + 1)).alias(f"m{c}") for c in cols]
-        j = m.select("id", "limit", *XYZ, *mean)
-        d2 = sum((F.col(f"m{a}") - F.col(a)) * (F.col(f"m{a}") - F.col(a)) for a in XYZ)
-        moved = j.select("id", *(F.col(f"m{c}").alias(c) for c in cols), "limit", (d2 <= stop).alias("done"))
-        before, now = now, materialise(now.where("done").unionByName(moved))
-        release(before)
+    done = [now.where("left = 0")]
+    while not (open_ := now.where("left > 0")).isEmpty():
+        now = materialise(_shift(open_, tiles, float(reach), stop))
+        done.append(now.where("left = 0"))
     if rounds:
-        release(base, places)
-    return now.select("id", *(F.round(a).alias(a) for a in XYZ), "radius")
+        release(tiles)
+    return reduce(DataFrame.unionByName, done).select("id", *(F.round(a).alias(a) for a in XYZ), "radius")
+
+
+def _edge(reach: float) -> float:
+    """The edge of mean shift's blocks; balls may go that far out of a block, too."""
+    return 1.5 * reach * (1 + 1e-9) + 1e-9
+
+
+def _tiles(places: DataFrame, reach: float) -> DataFrame:
+    """The places(x, y, z, n, sradius) of each block, packed: (tx, ty, tz, tile)."""
+    key = ["tx", "ty", "tz"]
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        all_ = np.ascontiguousarray(pdf[[*XYZ, "n", "sradius"]].to_numpy(float))
+        parts = [all_[k:k + 65536].tobytes() for k in range(0, len(all_), 65536)]
+        return pd.DataFrame({**{c: int(pdf[c].iloc[0]) for c in key}, "tile": parts})
 
-def _ball_sums(nodes: DataFrame, places: DataFrame, reach: float) -> DataFrame:
-    """nodes(id, x, y, z, radius, limit) with the number n of places(x, y, z, n, sradius) in the
-    ball of the lesser of limit and reach around each, copies counted, and the sums sx, sy, sz and sradius
-    over them.  Nodes are dealt into blocks, which get the places within reach of them."""
-    edge = 1.5 * reach or 1.0
+    at = places.select("*", *(F.floor(F.col(c) / _edge(reach)).cast("long").alias(f"t{c}") for c in XYZ))
+    return materialise(at.groupBy(*key).applyInPandas(pack, "tx long, ty long, tz long, tile binary"))
+
+
+def _shift(nodes: DataFrame, tiles: DataFrame, reach: float, stop: float) -> DataFrame:
+    """nodes(id, x, y, z, radius, limit, left) moved until `left` rounds are over or the shift is
+    small, which sets left to 0.  Nodes are dealt into blocks, which get the tiles around them;
+    those whose ball leaves these come back with the rounds they still have, at least one fewer."""
+    edge = _edge(reach)
     block = [f"b{c}" for c in XYZ]
     lots = 8 * nodes.sparkSession.sparkContext.defaultParallelism
-    q = nodes.select("id", *XYZ, "radius", "limit", *(F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in XYZ))
-    p = places
+    own = lambda: (F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in XYZ)
+    q, near = nodes.select("*", *own()), nodes.select(*own()).distinct()
     for c in XYZ:
-        wide = reach * (1 + 1e-9) + 1e-9
-        p = p.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - wide) / edge).cast("long"), F.floor((F.col(c) + wide) / edge).cast("long"))))
+        near = near.withColumn(f"t{c}", F.explode(F.array(*(F.try_add(F.col(f"b{c}"), F.lit(k)) for k in (-1, 0, 1)))))
+    p = tiles.join(near.hint("shuffle_hash"), [f"t{c}" for c in XYZ]).select(*block, "tile")
     # a fixed number of lots: few bytes make much work here, and adaptive planning goes by bytes
     pair = q.repartition(lots, *block).groupBy(*block).cogroup(p.repartition(lots, *block).groupBy(*block))
-    sums = [f"s{c}" for c in (*XYZ, "radius")]
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        low = np.array([q[c].iloc[0] for c in block], float) * edge - edge
         q = q.drop(columns=block)
-        at = q[list(XYZ)].to_numpy(float)
-        got = _line_sums(at, np.minimum(q.limit.to_numpy(float) ** 2, reach * reach), p[list(XYZ)].to_numpy(float), p.n.to_numpy(float), p.sradius.to_numpy(float))
-        return q.assign(n=got[:, 0].astype(np.int64), **{c: got[:, k + 1] for k, c in enumerate(sums)})
-
-    return pair.applyInPandas(run, "id long, x double, y double, z double, radius double, limit double, n long, " + ", ".join(f"{c} double" for c in sums))
+        around = np.frombuffer(b"".join(p.tile)).reshape(-1, 5)
+        at, n, sradius = around[:, :3], around[:, 3], around[:, 4]
+        sums = _grid_sums(at, n, sradius) or (lambda c, r2: _line_sums(c, r2, at, n, sradius))
+        x, radius, left = q[list(XYZ)].to_numpy(float), q.radius.to_numpy(float).copy(), q.left.to_numpy().copy()
+        r2 = np.minimum(q.limit.to_numpy(float) ** 2, reach * reach)
+        r, i = np.sqrt(r2)[:, None], np.arange(len(q))
+        while len(i):
+            got = sums(x[i], r2[i])
+            to = (got[:, 1:4] + x[i]) / (got[:, :1] + 1)
+            d = to - x[i]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            x[i], radius[i] = to, (got[:, 4] + radius[i]) / (got[:, 0] + 1)
+            left[i] = np.where(d2 <= stop, 0, left[i] - 1)
+            held = ((to - r[i] >= low) & (to + r[i] <= low + 3 * edge)).all(1)
+            i = i[(left[i] > 0) & held]
+        return q.assign(radius=radius, left=left, **{c: x[:, k] for k, c in enumerate(XYZ)})
+
+    return pair.applyInPandas(run, "id long, x double, y double, z double, radius double, limit double, left int")
 
 
 def _ragged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,6 +347,75 @@ def _line_sums(at: np.ndarray, r2: np.ndarray, p: np.ndarray, n: np.ndarray, rad
     return out
 
 
+#: Cells a place and cells in all up to which places are laid out as a grid.
+SPARSE_GRID, LARGE_GRID = 64, 1 << 23
+
+
+def _grid_sums(p: np.ndarray, n: np.ndarray, radius: np.ndarray, lot: int = 1 << 16):
+    """What `_line_sums` gives, as a function of the balls, or None unless the places p are whole
+    numbers that fill a grid well enough.  A line's run is then found without a search."""
+    if not len(p) or (np.abs(p) > 2**50).any() or (p != np.rint(p)).any():
+        return None
+    low = p.min(0)
+    nx, ny, nz = (int(v) + 1 for v in p.max(0) - low)
+    if nx * ny * nz > min(SPARSE_GRID * len(p), LARGE_GRID):
+        return None
+    # running sums along each line; a rim of empty lines stands for all that are beyond
+    i, j, k = (p - low).astype(np.int64).T
+    shape = (nz + 2, ny + 2, nx + 1)
+    cell = np.ravel_multi_index((k + 1, j + 1, i + 1), shape)
+    run = [np.cumsum(np.bincount(cell, v, math.prod(shape)).reshape(shape), axis=2).ravel() for v in (n, n * p[:, 0], radius)]
+    slack = 1e-6
+
+    def lines(at: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 5))
+        most = math.sqrt(r2.max())
+        wide = math.floor(most + slack) + 1
+        steps = np.arange(-wide, wide + 2)
+        x, (fy, fz) = at[:, :1] - low[0], np.floor(at[:, 1:]).T
+        dy, dz = fy[:, None] + steps - at[:, 1:2], fz[:, None] + steps - at[:, 2:]
+        dy2, dz2 = dy * dy, dz * dz
+        row = np.clip(fy[:, None] + steps - low[1] + 1, 0, ny + 1).astype(np.int64) * (nx + 1)
+        plane = np.clip(fz[:, None] + steps - low[2] + 1, 0, nz + 1).astype(np.int64) * ((ny + 2) * (nx + 1))
+        for c, step in enumerate(steps):
+            nearest = max(step - 1, -step)
+            rest = most * most - nearest * nearest
+            if rest < -slack:
+                continue
+            span = math.floor(math.sqrt(max(rest, 0)) + slack)
+            cut = slice(wide - span, wide + span + 2)
+            d2 = dy2[:, cut] + dz2[:, c:c + 1]
+            half = np.sqrt(np.maximum(r2[:, None] - d2, 0)) + slack
+            first, last = np.ceil(x - half), np.floor(x + half)
+            # the outermost places are tested themselves
+            first += np.square(first - x) + d2 > r2[:, None]
+            last -= np.square(last - x) + d2 > r2[:, None]
+            line = row[:, cut] + plane[:, c:c + 1]
+            lo = np.clip(first, 0, nx).astype(np.int64)
+            hi = np.maximum(np.clip(last + 1, 0, nx).astype(np.int64), lo) + line
+            lo += line
+            count = run[0].take(hi) - run[0].take(lo)
+            here = count.sum(1)
+            out[:, 0] += here
+            out[:, 1] += (run[1].take(hi) - run[1].take(lo)).sum(1)
+            out[:, 2] += (count * (fy[:, None] + steps[cut])).sum(1)
+            out[:, 3] += here * (fz + step)
+            out[:, 4] += (run[2].take(hi) - run[2].take(lo)).sum(1)
+        return out
+
+    def sums(at: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 5))
+        order, start = np.argsort(r2, kind="stable"), 0
+        while start < len(at):
+            # balls of like size go together, as many as fill a lot of lines of one plane
+            rows = order[start:start + max(1, int(lot / (2 * math.sqrt(r2[order[start]]) + 3)))]
+            out[rows] = lines(at[rows], r2[rows])
+            start += len(rows)
+        return out
+
+    return sums
+
+
 def cover_prune(nodes: DataFrame, group: str, factor: float = 1.0, first=None) -> DataFrame:
     """Greedy sphere grouping per group: those for which `first` holds (somas), then by falling
     radius (then id), a node is kept unless a kept node's ball of radius * factor holds it:
