@@ -265,6 +265,29 @@ def test_reached_and_nearest_equal_all_pairs(spark):
         assert {r.a: r.b for r in matching.smallest(left, right, radius, scale).collect()} == least
 
 
+def test_nearest_does_not_compare_what_is_too_far(spark, monkeypatch):
+    """A full cube and places around it, most of them beyond reach, negative ones included: large balls
+    are not compared place by place."""
+    side, radii, meet = range(-6, 10), [], matching._meet
+    cube = [(100 * i + k, float(x), float(y), float(z)) for i, (x, y, z) in enumerate((x, y, z) for x in side for y in side for z in side) for k in range(1 + i % 2)]
+    rng = random.Random(9)
+    a = [(i, *(rng.randint(-31, 34) for _ in range(3))) for i in range(300)] + [(300 + i, *(2 * rng.randint(-16, 17) + 0.5 for _ in range(3))) for i in range(60)]
+    left = spark.createDataFrame([(i, *map(float, p)) for i, *p in a], "a long, x double, y double, z double")
+    right = spark.createDataFrame(cube, "b long, x double, y double, z double")
+    at = np.array([c[1:] for c in cube])
+    for scale in ((1.0, 1.0, 1.0), (1.0, 1.5, 0.5)):
+        want = {}
+        for i, *p in a:
+            d2 = (((at - p) * scale) ** 2).sum(1)
+            if d2.min() <= 144:
+                want[i] = (d2.min(), min(cube[j][0] for j in np.flatnonzero(d2 == d2.min())))
+        assert 30 < len(want) < 250
+        monkeypatch.setattr(matching, "_meet", lambda *args: radii.append(args[2]) or meet(*args))
+        assert {r.a: (r.d2, r.b) for r in matching.nearest(left, right, 12.0, scale).collect()} == want
+        assert sorted(r.a for r in matching.reached(left, right, 12.0, scale).collect()) == sorted(want)
+    assert max(radii) < 4
+
+
 def test_swc_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("a", 1, 1, 0.0, 0.0, 0.0, 2.0, None), ("a", 2, 3, 1.0, 2.0, 3.0, 1.0, 1), ("b", 1, 1, 5.0, 5.0, 5.0, 1.0, None)],
                               "tree string, id long, type int, x double, y double, z double, radius double, parent long")
